@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldmark.functions.digests import SHA256_DIGITS, usable_digest
+from foldmark.functions.digests import GIT_SHA1_DIGITS, SHA256_DIGITS, usable_digest
 from foldmark.functions.paths import drive_of, resolved_path
 from foldmark.llm.components import connected_groups
+from foldmark.llm.setjoin import SimilarSets, similar_sets
 from foldmark.llm.survivors import best_rows, fuse
 from foldmark.operators.skew import split_join
 from foldmark.plans.tables import table
@@ -17,6 +18,50 @@ from foldmark.plans.training import digest_sql, resolved_sql
 LEAST_MTIME = 946684800
 
 
+#: Problem 2: least share of common content and least size of a set.
+OVERLAP, LEAST_DIGESTS = 0.6, 5
+
+
+def _content_sets(spark: SparkSession, root: str) -> DataFrame:
+    """s (twice the id, plus 1 for a repo) and digest of every project folder and repo."""
+    digest = usable_digest(F.col("git_sha1"), GIT_SHA1_DIGITS).alias("digest")
+    repos = table(spark, root, "github_files").select((F.col("repo_id") * 2 + 1).alias("s"), digest).dropna()
+    folders = table(spark, root, "directories").where("depth = 1").select(F.col("id"), F.col("abs_path").alias("folder")).dropna()
+    # folders lie at a few depths only, so a file is looked up at those alone rather than at every ancestor
+    depths = [row[0] for row in folders.select(F.size(F.split("folder", "/"))).distinct().collect()]
+    files = table(spark, root, "files").select(resolved_path(F.col("abs_path")).alias("place"), digest).dropna()
+    if not depths:
+        return repos
+    above = F.array(*[F.when(F.size(F.split("place", "/")) > d, F.substring_index("place", "/", d)) for d in depths])
+    held = split_join(files.select(F.explode(above).alias("folder"), "digest").dropna(), folders, ["folder"])
+    return repos.unionByName(held.select((F.col("id") * 2).alias("s"), "digest"))
+
+
+def _set_key(s: str):
+    return F.concat(F.when(F.col(s).bitwiseAND(1) == 1, "repo:").otherwise("dir:"), F.shiftright(s, 1).cast("string"))
+
+
+def _similar(spark: SparkSession, root: str) -> SimilarSets:
+    return similar_sets(_content_sets(spark, root), "s", "digest", OVERLAP, LEAST_DIGESTS)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Similar pairs with every set of equal content written out, as TESTDATA.md asks."""
+    found = _similar(spark, root)
+    one, two = [found.members.select(F.col("set").alias(f"s{k}"), F.col("class").alias(f"set{k}")) for k in (1, 2)]
+    between = found.pairs.select("set1", "set2").join(one, "set1").join(two, "set2")
+    within = one.join(two.withColumnRenamed("set2", "set1"), "set1").where("s1 < s2")
+    pairs = between.select("s1", "s2").unionByName(within.select("s1", "s2")).select(_set_key("s1").alias("a"), _set_key("s2").alias("b"))
+    return pairs.select(F.least("a", "b").alias("key1"), F.greatest("a", "b").alias("key2"))
+
+
+def p2_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each set with its class of equal content and the number of other classes similar to it."""
+    found = _similar(spark, root)
+    ends = found.pairs.select(F.explode(F.array("set1", "set2")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    return split_join(found.members, ends, ["class"], "left").select(_set_key("set").alias("key"), _set_key("class").alias("class_key"), "size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _recorded(spark: SparkSession, root: str) -> DataFrame:
     """Rows of files with their path's 128-bit fingerprint and the usable form of each field, null where useless."""
     files = table(spark, root, "files").select("id", "scan_id", "sha256", "drive", "mtime", "scanned_at", resolved_path(F.col("abs_path")).alias("place"))
@@ -49,7 +94,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return connected_groups(links, "dir1_id", "dir2_id").withColumnRenamed("vertex", "dir_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_fused, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_fused, p5_found)}
 
 _P4 = f"""
 rows AS (
@@ -65,7 +110,23 @@ usable AS (
   UNION ALL SELECT group_id, 'drive', id, mtime, scanned_at FROM grouped WHERE n >= 2 AND drive
 )"""
 
+_P2 = f"""
+placed AS (SELECT {resolved_sql("abs_path")} AS place, {digest_sql("git_sha1", 40)} AS digest FROM files),
+cells AS (
+  SELECT 'repo:' || repo_id AS key, {digest_sql("git_sha1", 40)} AS digest FROM github_files WHERE repo_id IS NOT NULL
+  UNION ALL
+  SELECT 'dir:' || d.id, p.digest FROM placed p, unnest(range(1, len(string_split(p.place, '/')))) AS u(k)
+  JOIN directories d ON d.depth = 1 AND d.abs_path = array_to_string(string_split(p.place, '/')[1:u.k], '/')
+),
+members AS (SELECT DISTINCT key, digest FROM cells WHERE digest IS NOT NULL),
+sizes AS (SELECT key, count(*) AS n FROM members GROUP BY key HAVING count(*) >= 5),
+shared AS (SELECT a.key AS key1, b.key AS key2, count(*) AS k FROM members a JOIN members b ON a.digest = b.digest AND a.key < b.key GROUP BY ALL),
+similar_pairs AS (
+  SELECT key1, key2, k, a.n AS n1, b.n AS n2 FROM shared JOIN sizes a ON a.key = key1 JOIN sizes b ON b.key = key2 WHERE k >= 0.6 * (a.n + b.n - k) - 1e-9
+)"""
+
 SQL = {
+    "p2_found": f"WITH {_P2} SELECT key1, key2 FROM similar_pairs",
     "p4_found": f"WITH {_P4} SELECT group_id, field_name, row_id FROM usable QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY mtime DESC NULLS LAST, scanned_at DESC NULLS LAST, row_id DESC) = 1",
     "p5_found": """
 WITH RECURSIVE links AS (
