@@ -28,10 +28,11 @@ def heavy_values(df: DataFrame, key: Column, share: float = HEAVY_SHARE) -> tupl
     return [x["item"] for x in row["top"] or [] if x["count"] >= floor], row["n"]
 
 
-def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", residual: Column | None = None, share: float = HEAVY_SHARE) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", residual: Column | None = None, share: float = HEAVY_SHARE, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a right side that holds each key once, whatever the skew of the left.
 
-    A right side of at most BROADCAST_ROWS rows is broadcast. Otherwise the
+    A right side of at most ``most`` rows is broadcast (less than BROADCAST_ROWS
+    for wide rows). Otherwise the
     heavy left keys are found by sketch; their right rows, at most one per
     heavy key, are broadcast to them, all other rows meet in an ordinary
     shuffle join, and the two results are united. ``how`` is inner, left,
@@ -45,7 +46,7 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     for k, n in zip(on, keys):
         condition = (F.col(k) == F.col(n)) & condition
     join = lambda a, b: a.join(b, condition, how).drop(*keys)
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if right.limit(most + 1).count() <= most:
         return join(left, F.broadcast(right))
     mark = lambda names: F.xxhash64(*names)
     known = left.where(F.expr(" and ".join(f"`{k}` is not null" for k in on)))
