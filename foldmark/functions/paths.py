@@ -24,15 +24,26 @@ def resolved_path(path: Column) -> Column:
     ``..`` are resolved, a trailing separator is dropped, letter case otherwise
     counts. Null and blank paths give null.
     """
-    windows = path.rlike(r"^[A-Za-z]:([\\/]|$)")
-    letter = F.lower(F.substring(path, 1, 1))
-    rest = F.translate(F.substr(path, F.lit(3)), "\\", "/")
-    # most paths need no folding; the fold runs only where one of these spellings occurs
-    tidy = lambda p: F.when(p.rlike(r"//|/\.{1,2}(/|$)|^\.{1,2}(/|$)|.+/$"), F.concat(F.when(p.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(_fold_segments(p), "/"))).otherwise(p)
-    on_drive = F.concat(F.lit("/mnt/"), letter, F.when(tidy(rest).isin("", "/"), F.lit("")).otherwise(tidy(rest)))
-    posix = tidy(path)
-    mounted = F.when(posix.rlike(r"^/mnt/[A-Z](/|$)"), F.concat(F.lit("/mnt/"), F.lower(F.substring(posix, 6, 1)), F.substr(posix, F.lit(7)))).otherwise(posix)
-    return F.when(F.trim(path) == "", F.lit(None)).when(windows, on_drive).otherwise(mounted)
+    starts = lambda k, n=1: F.substring(path, k, n)
+    windows = (starts(2) == ":") & F.lower(starts(1)).between("a", "z") & starts(3).isin("", "/", "\\")
+    # most paths are tidy; folding runs only where one of these spellings occurs
+    untidy = F.lit(False)
+    for part in ("//", "/./", "/../"):
+        untidy = untidy | F.contains(path, F.lit(part))
+    for end in ("/", "/.", "/.."):
+        untidy = untidy | F.endswith(path, F.lit(end))
+    for start in ("./", "../"):
+        untidy = untidy | F.startswith(path, F.lit(start))
+    body = F.when(windows, F.concat(F.lit("/"), F.translate(F.substr(path, F.lit(3)), "\\", "/"))).otherwise(path)
+    folded = F.concat(F.when(body.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(_fold_segments(body), "/"))
+    placed = F.when(windows, F.concat(F.lit("/mnt/"), F.lower(starts(1)), F.when(folded == "/", F.lit("")).otherwise(folded))).otherwise(_small_mount(folded))
+    return F.when(F.trim(path) == "", F.lit(None)).when(windows | untidy, placed).otherwise(_small_mount(path))
+
+
+def _small_mount(path: Column) -> Column:
+    letter = F.substring(path, 6, 1)
+    mounted = path.startswith("/mnt/") & letter.between("A", "Z") & F.substring(path, 7, 1).isin("", "/")
+    return F.when(mounted, F.concat(F.lit("/mnt/"), F.lower(letter), F.substr(path, F.lit(7)))).otherwise(path)
 
 
 def drive_of(path: Column) -> Column:
