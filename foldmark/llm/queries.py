@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldmark.functions.digests import GIT_SHA1_DIGITS, SHA256_DIGITS, usable_digest
 from foldmark.functions.paths import drive_of, resolved_path
 from foldmark.llm.components import connected_groups
+from foldmark.llm.residue import matches, residue_documents
 from foldmark.llm.setjoin import SimilarSets, similar_sets
 from foldmark.llm.survivors import best_rows, fuse
 from foldmark.operators.skew import split_join
@@ -94,7 +95,22 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return connected_groups(links, "dir1_id", "dir2_id").withColumnRenamed("vertex", "dir_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_fused, p5_found)}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue_documents(table(spark, root, "documents"), "doc_id", "text")
+
+
+def p8_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that stay."""
+    documents = table(spark, root, "documents")
+    return documents.select("doc_id", "source", "lang").join(residue_documents(documents, "doc_id", "text"), "doc_id", "left_anti")
+
+
+def p8_passages(spark: SparkSession, root: str) -> DataFrame:
+    """The matching passage windows with their scores."""
+    return matches(table(spark, root, "documents"), "doc_id", "text").withColumnsRenamed({"w": "passage"})
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_fused, p5_found, p8_found, p8_kept, p8_passages)}
 
 _P4 = f"""
 rows AS (
