@@ -20,7 +20,8 @@ class Exemplar:
 
     ``coverage`` is the least share of the window's weight that core and around
     must cover, ``least_terms`` the least number of different terms met;
-    ``residue`` is false for sentences that write about residue.
+    ``residue`` is false for sentences that write about residue, and ``shows``
+    true for those that show a placeholder in square brackets.
     """
 
     core: str
@@ -28,6 +29,7 @@ class Exemplar:
     coverage: float = 0.6
     least_terms: int = 1
     residue: bool = True
+    shows: bool = False
 
 
 #: HTTP status codes of error pages, and the reasons they give.
@@ -102,5 +104,5 @@ def exemplars() -> list[Exemplar]:
     out += [Exemplar(s) for s in FILLER_SENTENCES]
     out += [Exemplar(f"{what} {tail}", FILLER_VERBS, 0.8) for what, tail in product(FILLER_OBJECTS, FILLER_TAILS)]
     out.append(Exemplar("", LATIN, 0.75, 3))
-    out += [Exemplar(s, coverage=0.0, residue=False) for s in ABOUT]
+    out += [Exemplar(s, coverage=0.0, residue=False, shows="never ship text" in s) for s in ABOUT]
     return out

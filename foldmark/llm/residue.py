@@ -53,6 +53,7 @@ def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = F.lower(t)
     t = _replace(t, r"\b(\w{3,}(?: \w+)?)(?:[ ,]+\1\b){2,}", f" {X.REPEAT} ")
     t = _replace(t, r"client-side", "client side")
+    t = _replace(t, r"script-capable", "scripts capable")
     t = _replace(t, r"time-out", "time out")
     t = _replace(t, r"rate_limited", "rate limited")
     t = _replace(t, r"retry_after", "retry after")
@@ -126,12 +127,17 @@ def matches(documents: DataFrame, doc_id: str, text: str, catalogue: list[X.Exem
 def residue_documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id of every document with a window of residue, once each.
 
-    A window that also matches a sentence about residue is no case, except for
-    a placeholder other than in plain square brackets, which nothing excuses
-    outside code and quotation. Null and blank texts and an empty table
-    give no row; rows that repeat a doc_id are judged together.
+    A window that also matches a sentence about residue is no case. Placeholders
+    count even there, as nothing but code and quotation excuses them; those in
+    plain square brackets are excused by the one sentence that shows them.
+    Null and blank texts and an empty table give no row; rows that repeat a
+    doc_id are judged together.
     """
-    found = matches(documents, doc_id, text)
-    mark = F.max(F.col("exemplar") == 0)
-    verdict = found.groupBy("doc_id", "w").agg(mark.alias("mark"), F.max("residue").alias("bad"), F.min("residue").alias("only_bad"))
-    return verdict.where("mark or (bad and only_bad)").select("doc_id").distinct()
+    catalogue = X.exemplars()
+    found = matches(documents, doc_id, text, catalogue)
+    is_one = lambda ks: F.max(F.col("exemplar").isin(ks))
+    of = lambda wanted: [k for k, e in enumerate(catalogue) if wanted(e)]
+    verdict = found.groupBy("doc_id", "w").agg(
+        is_one(of(lambda e: e.core == X.MARK)).alias("mark"), is_one(of(lambda e: e.core == X.BRACKET)).alias("bracket"), is_one(of(lambda e: e.shows)).alias("shown"), F.max("residue").alias("bad"), F.min("residue").alias("only_bad")
+    )
+    return verdict.where("mark or (bracket and not shown) or (bad and only_bad)").select("doc_id").distinct()
