@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from foldmark.functions.digests import GIT_SHA1_DIGITS, SHA256_DIGITS, usable_digest
 from foldmark.functions.paths import drive_of, resolved_path
 from foldmark.llm.components import connected_groups
+from foldmark.llm.mixing import mix
+from foldmark.llm.packing import fill, pack
 from foldmark.llm.residue import matches, residue_documents
 from foldmark.llm.setjoin import SimilarSets, similar_sets
 from foldmark.llm.survivors import best_rows, fuse
+from foldmark.llm.tokens import token_count
+from foldmark.operators.layout import spread
 from foldmark.operators.skew import split_join
+from foldmark.session import Scratch
 from foldmark.plans.tables import table
 from foldmark.plans.training import digest_sql, resolved_sql
 
@@ -95,6 +100,36 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return connected_groups(links, "dir1_id", "dir2_id").withColumnRenamed("vertex", "dir_id")
 
 
+def _sized(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, source, n_tokens of every document, counted once."""
+    documents = spread(table(spark, root, "documents").select("doc_id", "source", "text"))
+    return Scratch(spark, "sized").write(documents.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), "documents")
+
+
+def _limits(spark: SparkSession, root: str) -> dict[str, int]:
+    return {r["limit_name"]: r["capacity_tokens"] for r in table(spark, root, "pack_limits").dropna().collect()}
+
+
+def p6_assign(spark: SparkSession, root: str) -> DataFrame:
+    """The place of every document, or piece of one larger than the capacity, in the containers of each limit."""
+    return pack(_sized(spark, root), "doc_id", "n_tokens", _limits(spark, root)).withColumnsRenamed({"item_start": "token_start", "piece_size": "n_tokens"})
+
+
+def p6_fill(spark: SparkSession, root: str) -> DataFrame:
+    limits = _limits(spark, root)
+    return fill(pack(_sized(spark, root), "doc_id", "n_tokens", limits), limits)
+
+
+def p7_draws(spark: SparkSession, root: str) -> DataFrame:
+    """The drawn records with repeats, in training order."""
+    return mix(_sized(spark, root), "doc_id", "source", "n_tokens", table(spark, root, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mix(_sized(spark, root), "doc_id", "source", "n_tokens", table(spark, root, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return residue_documents(table(spark, root, "documents"), "doc_id", "text")
 
@@ -110,7 +145,7 @@ def p8_passages(spark: SparkSession, root: str) -> DataFrame:
     return matches(table(spark, root, "documents"), "doc_id", "text").withColumnsRenamed({"w": "passage"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_fused, p5_found, p8_found, p8_kept, p8_passages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_fused, p5_found, p6_assign, p6_fill, p7_draws, p7_shares, p8_found, p8_kept, p8_passages)}
 
 _P4 = f"""
 rows AS (

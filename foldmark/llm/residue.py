@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldmark.llm import exemplars as X
+from foldmark.operators.layout import spread
 from foldmark.operators.skew import split_join
 from foldmark.session import Scratch
 
@@ -62,7 +63,7 @@ def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = _replace(t, rf"\b(?:{'|'.join(map(str, X.STATUS_CODES))})\b", f" {X.STATUS} ")
     t = _replace(t, rf"\b(?:{'|'.join(X.ENABLE_FORMS)})\b", f" {X.ENABLE} ")
     t = _replace(t, rf"\b(?:{'|'.join(X.SCRIPT_FORMS)})\b", f" {X.SCRIPTS} ")
-    passages = documents.where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(t, r"\n|(?<=[.!?])\s+")).alias("w", "passage"))
+    passages = spread(documents.select(doc_id, text)).where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(t, r"\n|(?<=[.!?])\s+")).alias("w", "passage"))
     terms = F.filter(F.array_distinct(F.split("passage", r"[^\p{L}\p{N}]+")), lambda x: (x != "") & ~x.rlike(r"\p{N}"))
     return passages.select("doc_id", "w", terms.alias("terms")).where(F.size("terms") > 0)
 
