@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-#: Tokens that normalisation puts in place of an unfilled placeholder, of one in plain square brackets, and of a word or word pair said three times or more.
+#: Tokens that normalisation puts in place of an unfilled placeholder, of one in plain square brackets, and of a word or word pair said three times or more or keys hit at random.
 MARK, BRACKET, REPEAT = "zqmark", "zqbracket", "zqrepeat"
 #: Tokens for the verbs of script notices, for what they ask to switch on, and for HTTP status codes of errors.
 ENABLE, SCRIPTS, STATUS = "zqenable", "zqscripts", "zqstatus"
@@ -68,7 +68,8 @@ SCRIPT_FORMS = ("client side scripts", "client side scripting", "javascript", "s
 FILLER_SENTENCES = (
     "content coming soon", "check back later", "section under construction wording to follow", "this page is under construction", "this is placeholder copy for the page", "your text will appear in this space", "your text goes here",
     f"{REPEAT} more of the same later", "heading one", "heading two", "heading three", "body copy", "replace this paragraph with your own words", "sample text goes here", "test test please ignore", "dies ist nur ein blindtext", "hier steht später ein text", "hier steht spater ein text",
-    "texte provisoire à remplacer avant publication", "texto de relleno sustituir antes de publicar", "texto de exemplo trocar antes de publicar", "ceci est un texte factice", "este es un texto de ejemplo", "aqui vai o texto", "description goes here", "add your content here", "type your text here", "placeholder text",
+    "texte provisoire à remplacer avant publication", "texto de relleno sustituir antes de publicar", "texto de exemplo trocar antes de publicar", "ceci est un texte factice", "este es un texto de ejemplo", "aqui vai o texto", "description goes here", "add your content here", "type your text here", "placeholder text", "type a short introduction to in this box",
+    "qwerty qwerty uiop uiop zxcv", f"{REPEAT} jkl jkl", "foo bar baz", "asdf jkl", "tbd to be determined", "we could not load this file",
 )
 FILLER_VERBS = "insert drop in enter put add write type"
 FILLER_OBJECTS = ("a caption", "some copy", "an intro paragraph", "your summary", "two or three sentences", "a headline", "a description", "your text", "a title")

@@ -18,7 +18,7 @@ CONTAINMENT = 0.8
 _FIELD = r"[A-Za-z][A-Za-z0-9]*(?:[ _.-][A-Za-z0-9]+){0,3}"
 #: Notations of unfilled placeholders: fixed values.
 _MARKS = (
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{1,60}%>", r"\$\{[A-Za-z_][\w.:-]{0,60}\}", r"\$\([A-Z_][A-Z0-9_]{1,40}\)", r"#\{[A-Za-z_][\w.]{0,60}\}", r"%\([A-Za-z_]\w{0,40}\)[sd]", r"%%[A-Za-z_]\w{0,40}%%", r"@@[A-Za-z_]\w{0,40}@@",
+    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{1,60}%>", r"\$\{[A-Za-z_][\w.:-]{0,60}\}", r"\$\([A-Z_][A-Z0-9_]{1,40}\)", r"#\{[A-Za-z_][\w.]{0,60}\}", r"%\([A-Za-z_]\w{0,40}\)[sd]", r"%%[A-Za-z_]\w{0,40}%%", r"@@[A-Za-z_]\w{0,40}@@", r"(?<![\w$])\$[A-Z][A-Z0-9_]{1,40}\$(?![\w$])",
     r"::[A-Za-z_]\w{1,40}::", r"\[\[[^\[\]\n]{1,40}\]\]", rf"<!-- ?{_FIELD} ?-->", r"«[A-Za-z_]{2,40}»", r"\bXXXX-[A-Za-z_ ]{1,40}-XXXX\b", r"\bxxxx-[a-z_ ]{1,40}-xxxx\b", r"\{[A-Za-z0-9_]{1,40}\}",
     r"\b__(?!(?:init|main|name|file|all|doc|str|repr|len)__)[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__", rf"\b(?i:todo): add {_FIELD}", rf"(?i:<your {_FIELD}>)", r"<(?!/?(?:HTML|HEAD|TITLE|BODY|H[1-6]|P|DIV|SPAN|NOSCRIPT|BR|HR|A|B|I|UL|OL|LI|PRE|CODE|TABLE|TR|TD|TH|META|LINK|SCRIPT|STYLE)>)[A-Z]{3,}(?:[ _][A-Z]+){0,2}>",
 )
@@ -43,6 +43,7 @@ def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     t = F.col(text)
     t = _replace(t, r"\r\n?|\x{2028}|\x{2029}", "\n")
+    t = _replace(t, r"[\x{a0}\t]", " ")
     t = _replace(t, r"(?s)```.*?(?:```|\z)", "\n")
     t = _replace(t, r"`[^`\n]*`", " ")
     marks = "|".join(_MARKS)
@@ -52,7 +53,9 @@ def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = _replace(t, r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]{0,80})?>", " ")
     t = _replace(t, rf"(?i){'|'.join(_FURNITURE)}", "\n")
     t = F.lower(t)
-    t = _replace(t, r"\b(\w{3,}(?: \w+)?)(?:[ ,]+\1\b){2,}", f" {X.REPEAT} ")
+    t = _replace(t, r"\b(\w{3,}(?: \w+)??)(?:[ ,]+\1\b){2,}", f" {X.REPEAT} ")
+    # keys of the home row hit at random
+    t = _replace(t, r"\b[asdfghjkl]{2,}(?: [asdfghjkl]{2,}){3,}\b", f" {X.REPEAT} ")
     t = _replace(t, r"client-side", "client side")
     t = _replace(t, r"script-capable", "scripts capable")
     t = _replace(t, r"time-out", "time out")
