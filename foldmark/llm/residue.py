@@ -20,7 +20,7 @@ _FIELD = r"[A-Za-z][A-Za-z0-9]*(?:[ _.-][A-Za-z0-9]+){0,3}"
 _MARKS = (
     r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{1,60}%>", r"\$\{[A-Za-z_][\w.:-]{0,60}\}", r"\$\([A-Z_][A-Z0-9_]{1,40}\)", r"#\{[A-Za-z_][\w.]{0,60}\}", r"%\([A-Za-z_]\w{0,40}\)[sd]", r"%%[A-Za-z_]\w{0,40}%%", r"@@[A-Za-z_]\w{0,40}@@", r"(?<![\w$])\$[A-Z][A-Z0-9_]{1,40}\$(?![\w$])",
     r"::[A-Za-z_]\w{1,40}::", r"\[\[[^\[\]\n]{1,40}\]\]", rf"<!-- ?{_FIELD} ?-->", r"«[A-Za-z_]{2,40}»", r"\bXXXX-[A-Za-z_ ]{1,40}-XXXX\b", r"\bxxxx-[a-z_ ]{1,40}-xxxx\b", r"\{[A-Za-z0-9_]{1,40}\}",
-    r"\b__(?!(?:init|main|name|file|all|doc|str|repr|len)__)[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__", rf"\b(?i:todo): add {_FIELD}", rf"(?i:<your {_FIELD}>)", r"<(?!/?(?:HTML|HEAD|TITLE|BODY|H[1-6]|P|DIV|SPAN|NOSCRIPT|BR|HR|A|B|I|UL|OL|LI|PRE|CODE|TABLE|TR|TD|TH|META|LINK|SCRIPT|STYLE)>)[A-Z]{3,}(?:[ _][A-Z]+){0,2}>",
+    r"\b__(?!(?:init|main|name|file|all|doc|str|repr|len)__)[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+){0,6}__", rf"\b(?i:todo): add {_FIELD}", rf"(?i:<your {_FIELD}>)", r"<(?!/?(?:HTML|HEAD|TITLE|BODY|H[1-6]|P|DIV|SPAN|NOSCRIPT|BR|HR|A|B|I|UL|OL|LI|PRE|CODE|TABLE|TR|TD|TH|META|LINK|SCRIPT|STYLE)>)[A-Z]{3,}(?:[ _][A-Z]+){0,2}>",
 )
 _BRACKETS = (
     rf"(?i:\[(?:insert|enter|add|your|insérer|ins.{{1,3}}rer|inserir|insira|poner|insertar|colocar) [^\[\]\n]{{1,40}}\])", r"(?i:\[[^\[\]\n]{1,40} (?:einf\S{1,3}gen|goes here|here|aqu\S{1,3})\])", r"\[[A-Z][a-z]{2,}(?: [A-Z][a-z]+){0,2}\](?!\()",
@@ -42,6 +42,7 @@ def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     have no window; texts of any length are read whole.
     """
     t = F.col(text)
+    # repeated groups are bounded, as Java recurses into them: what is longer matches again
     t = _replace(t, r"\r\n?|\x{2028}|\x{2029}", "\n")
     t = _replace(t, r"[\x{a0}\t]", " ")
     t = _replace(t, r"(?s)```.*?(?:```|\z)", "\n")
@@ -53,16 +54,19 @@ def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = _replace(t, r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]{0,80})?>", " ")
     t = _replace(t, rf"(?i){'|'.join(_FURNITURE)}", "\n")
     t = F.lower(t)
-    t = _replace(t, r"\b(\w{3,}(?: \w+)??)(?:[ ,]+\1\b){2,}", f" {X.REPEAT} ")
+    t = _replace(t, r"\b(\w{3,}(?: \w+)??)(?:[ ,]+\1\b){2,20}", f" {X.REPEAT}<$1> ")
+    # what the bound has left over of a long run
+    t = _replace(t, rf"{X.REPEAT}<([^<>\n]*)> +\1\b(?:[ ,]+\1\b)?", f" {X.REPEAT} ")
+    t = _replace(t, rf"{X.REPEAT}<[^<>\n]*>", f" {X.REPEAT} ")
     # keys of the home row hit at random
-    t = _replace(t, r"\b[asdfghjkl]{2,}(?: [asdfghjkl]{2,}){3,}\b", f" {X.REPEAT} ")
+    t = _replace(t, r"\b[asdfghjkl]{2,}(?: [asdfghjkl]{2,}){3,20}\b", f" {X.REPEAT} ")
     t = _replace(t, r"client-side", "client side")
     t = _replace(t, r"script-capable", "scripts capable")
     t = _replace(t, r"time-out", "time out")
     t = _replace(t, r"rate_limited", "rate limited")
     t = _replace(t, r"retry_after", "retry after")
     # repository and folder names, paths
-    t = _replace(t, r"(?:/[\w.() -]*[\w.()-])+/[\w.()-]+|\b[a-z0-9]+(?:[-_/][a-z0-9]+)+\b", " ")
+    t = _replace(t, r"(?:/[\w.()-]{1,255}){2,40}|\b[a-z0-9]+(?:[-_/][a-z0-9]+){1,20}\b", " ")
     t = _replace(t, rf"\b(?:{'|'.join(map(str, X.STATUS_CODES))})\b", f" {X.STATUS} ")
     t = _replace(t, rf"\b(?:{'|'.join(X.ENABLE_FORMS)})\b", f" {X.ENABLE} ")
     t = _replace(t, rf"\b(?:{'|'.join(X.SCRIPT_FORMS)})\b", f" {X.SCRIPTS} ")
@@ -131,7 +135,8 @@ def matches(documents: DataFrame, doc_id: str, text: str, catalogue: list[X.Exem
 def residue_documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id of every document with a window of residue, once each.
 
-    A window that also matches a sentence about residue is no case. Placeholders
+    A window of which a sentence about residue explains more than the residue
+    exemplars do is no case. Placeholders
     count even there, as nothing but code and quotation excuses them; those in
     plain square brackets are excused by the one sentence that shows them.
     Null and blank texts and an empty table give no row; rows that repeat a
@@ -142,6 +147,6 @@ def residue_documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame
     is_one = lambda ks: F.max(F.col("exemplar").isin(ks))
     of = lambda wanted: [k for k, e in enumerate(catalogue) if wanted(e)]
     verdict = found.groupBy("doc_id", "w").agg(
-        is_one(of(lambda e: e.core == X.MARK)).alias("mark"), is_one(of(lambda e: e.core == X.BRACKET)).alias("bracket"), is_one(of(lambda e: e.shows)).alias("shown"), F.max("residue").alias("bad"), F.min("residue").alias("only_bad")
+        is_one(of(lambda e: e.core == X.MARK)).alias("mark"), is_one(of(lambda e: e.core == X.BRACKET)).alias("bracket"), is_one(of(lambda e: e.shows)).alias("shown"), F.max(F.when(F.col("residue"), F.col("coverage"))).alias("bad"), F.max(F.when(~F.col("residue"), F.col("coverage"))).alias("about")
     )
-    return verdict.where("mark or (bracket and not shown) or (bad and only_bad)").select("doc_id").distinct()
+    return verdict.where("mark or (bracket and not shown) or bad >= coalesce(about, 0) - 1e-9").select("doc_id").distinct()
