@@ -12,7 +12,7 @@ HEAVY_SHARE = 1 / 1000
 #: Counters of the frequent-items sketch; its count error is below 5 / TRACKED of the rows.
 TRACKED = 16_384
 #: Up to so many rows a lookup table is broadcast; beyond, the join shuffles and splits heavy keys.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def heavy_values(df: DataFrame, key: Column, share: float = HEAVY_SHARE) -> tuple[list, int]:
