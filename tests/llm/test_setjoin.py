@@ -63,7 +63,9 @@ def test_sets_larger_than_a_chunk(spark, monkeypatch):
 def test_choice_weighs_the_costs(spark):
     ranked = spark.createDataFrame([(s, 4, x, 300, x + 1) for s in range(300) for x in range(4)], "s long, n int, x long, df long, pos int")
     two, three = setjoin._levels(ranked, 0.6)
-    assert two <= 300 and three >= 256
+    assert two <= three <= 300
+    rare = ranked.selectExpr("s", "n", "s * 4 + x as x", "1L as df", "pos")
+    assert setjoin._levels(rare, 0.6) == (setjoin.NEVER, setjoin.NEVER)
 
 
 def test_empty_and_useless_inputs(spark):
