@@ -10,6 +10,7 @@ from foldmark.functions.scalars import ratio
 from foldmark.operators import matching, rollup, similarity
 from foldmark.operators.containment import explode_ancestors, members_below
 from foldmark.operators.skew import split_join
+from foldmark.plans.relational import one_row
 from foldmark.plans.tables import table
 from foldmark.plans.training import resolved_sql
 
@@ -64,7 +65,7 @@ def pairs_possible(spark: SparkSession, root: str) -> DataFrame:
     groups = d.where("tree_hash is not null and tree_hash <> ''").groupBy("depth", "tree_hash").agg(F.count("*").alias("n"))
     exact = groups.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n_exact"))
     all_pairs = d.groupBy("depth").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n_all"))
-    return all_pairs.crossJoin(exact).select("n_all", "n_exact", F.greatest(F.col("n_all") - F.col("n_exact"), F.lit(0)).alias("n_possible"))
+    return one_row(all_pairs, exact).select("n_all", "n_exact", F.greatest(F.col("n_all") - F.col("n_exact"), F.lit(0)).alias("n_possible"))
 
 
 def near_dirs(spark: SparkSession, root: str, threshold: float = 0.5) -> DataFrame:

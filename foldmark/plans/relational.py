@@ -15,6 +15,14 @@ from foldmark.plans.tables import table
 CLASS_LABELS = {"exact": "Exact", "local_is_ahead": "Local Ahead", "github_is_ahead": "GitHub Ahead", "diverged": "Diverged", "partial_match": "Partial", "name_only": "Name Only"}
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One row of all columns of parts that have one row each."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def _dirs(spark: SparkSession, root: str, tag: str, *columns: str) -> DataFrame:
     return table(spark, root, "directories").select(F.col("id").alias(f"{tag}_id"), *[F.col(c).alias(f"{tag}_{c}") for c in columns])
 
@@ -107,7 +115,7 @@ def summary(spark: SparkSession, root: str) -> DataFrame:
     sized = split_join(pairs, _dirs(spark, root, "dir", "total_size_bytes"), ["dir_id"])
     per_dir = sized.groupBy("dir_id").agg(F.count("*").alias("n"), F.max("dir_total_size_bytes").alias("s"))
     recover = per_dir.agg(F.coalesce(F.sum(F.col("n") * F.col("s")), F.lit(0)).alias("pair_bytes"), F.coalesce(F.sum("s"), F.lit(0)).alias("dir_bytes"))
-    return files.crossJoin(dirs).crossJoin(matched).crossJoin(recover).withColumn("n_unmatched", F.greatest(F.col("n_dirs") - F.col("n_matched"), F.lit(0)))
+    return one_row(files, dirs, matched, recover).withColumn("n_unmatched", F.greatest(F.col("n_dirs") - F.col("n_matched"), F.lit(0)))
 
 
 def match_classes(spark: SparkSession, root: str) -> DataFrame:
