@@ -152,8 +152,8 @@ def mix(records: DataFrame, record_id: str, source: str, size: str, targets: Dat
 
     reached = draws.groupBy("source").agg(F.sum(size).alias("drawn"), F.count("*").alias("n_draws"), (F.max("repeat_no") + 1).alias("passes"))
     report = spark.createDataFrame([(k, s.share, s.repeats, s.records, s.tokens, wanted.get(k, 0.0)) for k, s in sorted(supplies.items())], "source string, target_share double, max_repeats long, n_records long, available long, wanted double")
-    all_drawn = F.broadcast(draws.agg(F.sum(size).alias("all_drawn")))
-    report = report.join(reached, "source", "left").crossJoin(all_drawn).select(
-        "source", "target_share", F.coalesce(F.col("drawn") / F.col("all_drawn"), F.lit(0.0)).alias("actual_share"), F.coalesce("drawn", F.lit(0)).alias("drawn_tokens"), "wanted", F.col("available").alias("available_tokens"), "n_records", F.coalesce("n_draws", F.lit(0)).alias("n_draws"), F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeats"
+    all_drawn = draws.agg(F.sum(size)).first()[0] or 1
+    report = report.join(reached, "source", "left").select(
+        "source", "target_share", F.coalesce(F.col("drawn") / all_drawn, F.lit(0.0)).alias("actual_share"), F.coalesce("drawn", F.lit(0)).alias("drawn_tokens"), "wanted", F.col("available").alias("available_tokens"), "n_records", F.coalesce("n_draws", F.lit(0)).alias("n_draws"), F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeats"
     )
     return draws.orderBy("position", "source", record_id, "repeat_no"), report

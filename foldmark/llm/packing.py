@@ -104,9 +104,9 @@ def pack(items: DataFrame, item_id: str, size: str, limits: Mapping[str, int], s
     if not limits:
         raise ValueError("no limits given")
     scratch = Scratch(spark, "packing")
-    caps = F.broadcast(spark.createDataFrame([(k, int(v)) for k, v in limits.items()], "limit_name string, capacity long"))
+    every_limit = F.array(*[F.struct(F.lit(k).alias("limit_name"), F.lit(int(v)).cast("long").alias("capacity")) for k, v in limits.items()])
     whole = items.select(F.col(item_id).alias("_id"), F.col(size).cast("long").alias("_n")).where("_n > 0")
-    cut = whole.crossJoin(caps).withColumn("piece", F.explode(F.expr("sequence(0, cast((_n - 1) div capacity as int))")))
+    cut = whole.select("*", F.inline(every_limit)).withColumn("piece", F.explode(F.expr("sequence(0, cast((_n - 1) div capacity as int))")))
     pieces = cut.select("limit_name", "_id", "piece", (F.col("piece") * F.col("capacity")).alias("item_start"), F.least(F.col("capacity"), F.col("_n") - F.col("piece") * F.col("capacity")).alias("piece_size"))
     pieces = scratch.write(pieces, "pieces")
     counts: dict[str, dict[int, int]] = {}
