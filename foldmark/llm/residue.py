@@ -47,19 +47,20 @@ def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = _replace(t, r"[\x{a0}\t]", " ")
     t = _replace(t, r"(?s)```.*?(?:```|\z)", "\n")
     t = _replace(t, r"`[^`\n]*`", " ")
-    marks = "|".join(_MARKS)
+    # the lookaheads name the first characters of the alternatives, so most places fail at once
+    marks = rf"(?=[{{<$#%@:\[«Xx_Tt])(?:{'|'.join(_MARKS)})"
     t = _replace(t, rf"[\"“”'](?:{marks})[\"“”']", " ")
     t = _replace(t, marks, f" {X.MARK} ")
-    t = _replace(t, "|".join(_BRACKETS), f" {X.BRACKET} ")
+    t = _replace(t, rf"(?=\[)(?:{'|'.join(_BRACKETS)})", f" {X.BRACKET} ")
     t = _replace(t, r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]{0,80})?>", " ")
-    t = _replace(t, rf"(?i){'|'.join(_FURNITURE)}", "\n")
+    t = _replace(t, rf"(?i)(?=[HSMB(])(?:{'|'.join(_FURNITURE)})", "\n")
     t = F.lower(t)
-    t = _replace(t, r"\b(\w{3,}(?: \w+)??)(?:[ ,]+\1\b){2,20}", f" {X.REPEAT}<$1> ")
+    t = _replace(t, r"\b(\w{3,}+(?: \w++)??)(?:[ ,]+\1\b){2,20}", f" {X.REPEAT}<$1> ")
     # what the bound has left over of a long run
     t = _replace(t, rf"{X.REPEAT}<([^<>\n]*)> +\1\b(?:[ ,]+\1\b)?", f" {X.REPEAT} ")
     t = _replace(t, rf"{X.REPEAT}<[^<>\n]*>", f" {X.REPEAT} ")
     # keys of the home row hit at random
-    t = _replace(t, r"\b[asdfghjkl]{2,}(?: [asdfghjkl]{2,}){3,20}\b", f" {X.REPEAT} ")
+    t = _replace(t, r"\b[asdfghjkl]{2,}+(?: [asdfghjkl]{2,}+){3,20}\b", f" {X.REPEAT} ")
     t = _replace(t, r"client-side", "client side")
     t = _replace(t, r"script-capable", "scripts capable")
     t = _replace(t, r"time-out", "time out")
