@@ -122,13 +122,14 @@ def _levels(ranked: DataFrame, threshold: float) -> tuple[int, int]:
     above = ranked.groupBy("s").agg(*[F.sum(F.when(F.col("df") >= d, 1).otherwise(0)).cast("double").alias(f"k{k}") for k, d in enumerate(LADDER)])
     k = [F.col(f"k{i}") for i in range(len(LADDER))]
     combined = above.agg(*[F.sum(c * (c - 1) / 2).alias(f"b{i}") for i, c in enumerate(k)], *[F.sum(c * (c - 1) * (c - 2) / 6).alias(f"c{i}") for i, c in enumerate(k)]).first()
-    best = (single["all"] or 0.0, NEVER, NEVER)
+    costs = {(NEVER, NEVER): single["all"] or 0.0}
     for i, d in enumerate(LADDER):
-        pairs = combined[f"b{i}"] or 0.0
-        best = min(best, ((single[f"a{i}"] or 0.0) + pairs, d, NEVER))
+        alone, pairs = single[f"a{i}"] or 0.0, combined[f"b{i}"] or 0.0
+        costs[d, NEVER] = alone + pairs
         for j in range(i + 1, len(LADDER)):
-            best = min(best, ((single[f"a{i}"] or 0.0) + pairs - (combined[f"b{j}"] or 0.0) + (combined[f"c{j}"] or 0.0), d, LADDER[j]))
-    return best[1], best[2]
+            costs[d, LADDER[j]] = alone + pairs - (combined[f"b{j}"] or 0.0) + (combined[f"c{j}"] or 0.0)
+    # of equal costs the later beginnings
+    return min(costs, key=lambda at: (costs[at], -at[0], -at[1]))
 
 
 def _entries(ranked: DataFrame, threshold: float, two: int, three: int) -> DataFrame:
