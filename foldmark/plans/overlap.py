@@ -74,10 +74,8 @@ def near_dirs(spark: SparkSession, root: str, threshold: float = 0.5) -> DataFra
     return similarity.with_jaccard(similarity.similar_pairs(sets, threshold))
 
 
-def near_dirs_low(spark: SparkSession, root: str) -> DataFrame:
-    """JN16 at the low reference threshold over project folders, with both similarities; the result is quadratic where all folders share common files."""
-    members = _below(spark, root, "depth = 1")
-    sets = similarity.distinct_members(members, "dir_id", "sha256")
+def _with_structure(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of sets above LEAST_SIMILARITY with both similarities."""
     trees = similarity.distinct_members(members.select("dir_id", F.concat_ws("|", "rel_path", "sha256").alias("cell"), "sha256").where("sha256 is not null and sha256 <> ''"), "dir_id", "cell")
     found = similarity.with_jaccard(similarity.similar_pairs(sets, LEAST_SIMILARITY))
     sizes = trees.select("s", "n").distinct()
@@ -87,6 +85,31 @@ def near_dirs_low(spark: SparkSession, root: str) -> DataFrame:
     return shared.select("a", "b", "similarity", "common", "only1", "only2", ratio(F.col("k"), F.col("t1") + F.col("t2") - F.col("k")).alias("structural"))
 
 
+def near_dirs_low(spark: SparkSession, root: str) -> DataFrame:
+    """JN16 at the low reference threshold over project folders, with both similarities; the result is quadratic where all folders share common files."""
+    members = _below(spark, root, "depth = 1")
+    return _with_structure(members, similarity.distinct_members(members, "dir_id", "sha256"))
+
+
+def _compared(spark: SparkSession, root: str) -> DataFrame:
+    """Files below every directory that FLT1 takes, with the directory's depth."""
+    worth = f"depth <= {MAX_DEPTH} and file_count >= {MIN_FILES}"
+    depths = table(spark, root, "directories").where(worth).select(F.col("id").alias("dir_id"), "depth")
+    return split_join(_below(spark, root, worth), depths, ["dir_id"])
+
+
+def near_dirs_whole(spark: SparkSession, root: str, threshold: float = 0.5) -> DataFrame:
+    """FLT1, JN15, JN16: all directories of MAX_DEPTH and MIN_FILES, each depth with itself, that share at least half of their contents. Equal directories are among them."""
+    sets = similarity.distinct_members(_compared(spark, root), "dir_id", "sha256", "depth")
+    return similarity.with_jaccard(similarity.similar_pairs(sets, threshold))
+
+
+def near_dirs_low_whole(spark: SparkSession, root: str) -> DataFrame:
+    """near_dirs_whole at the low reference threshold, with both similarities; quadratic as near_dirs_low is."""
+    members = _compared(spark, root)
+    return _with_structure(members, similarity.distinct_members(members, "dir_id", "sha256", "depth"))
+
+
 def _match_sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Content and structure members of project folders (three files or more) and repositories."""
     local = _below(spark, root, "depth = 1").where("git_sha1 is not null and git_sha1 <> ''")
@@ -117,7 +140,7 @@ def name_matches(spark: SparkSession, root: str) -> DataFrame:
     return matching.similar_names(d, table(spark, root, "github_repos").select("name"))
 
 
-QUERIES = {f.__name__: f for f in (file_ancestors, dir_totals, dir_hashes, stale_counts, equal_dirs, equal_dir_pairs, pairs_possible, near_dirs, near_dirs_low, content_matches, name_matches)}
+QUERIES = {f.__name__: f for f in (file_ancestors, dir_totals, dir_hashes, stale_counts, equal_dirs, equal_dir_pairs, pairs_possible, near_dirs, near_dirs_low, near_dirs_whole, near_dirs_low_whole, content_matches, name_matches)}
 
 _BELOW = f"""
 live AS (SELECT * FROM (SELECT *, {resolved_sql("abs_path")} AS place FROM files) QUALIFY row_number() OVER (PARTITION BY place ORDER BY scanned_at DESC, id DESC) = 1),
@@ -130,6 +153,13 @@ z AS (SELECT s, count(*) AS n FROM m GROUP BY s),
 k AS (SELECT p.s AS a, q.s AS b, count(*) AS k FROM m p JOIN m q ON p.x = q.x AND p.s < q.s GROUP BY ALL),
 near AS (SELECT a, b, k / (p.n + q.n - k) AS similarity, k AS common, p.n - k AS only1, q.n - k AS only2 FROM k JOIN z p ON p.s = a JOIN z q ON q.s = b)"""
 
+_NEAR_WHOLE = """
+w AS (SELECT b.* FROM below b JOIN directories d ON d.id = b.dir_id WHERE d.depth <= 2 AND d.file_count >= 2),
+m AS (SELECT DISTINCT dir_id AS s, depth, sha256 AS x FROM w WHERE sha256 <> ''),
+z AS (SELECT s, count(*) AS n FROM m GROUP BY s),
+k AS (SELECT p.s AS a, q.s AS b, count(*) AS k FROM m p JOIN m q ON p.x = q.x AND p.depth = q.depth AND p.s < q.s GROUP BY ALL),
+near AS (SELECT a, b, k / (p.n + q.n - k) AS similarity, k AS common, p.n - k AS only1, q.n - k AS only2 FROM k JOIN z p ON p.s = a JOIN z q ON q.s = b)"""
+
 SQL = {
     "file_ancestors": "SELECT array_to_string(p[1:u.k], '/') AS ancestor, count(*) AS n_rows FROM (SELECT string_split(abs_path, '/') AS p FROM files WHERE starts_with(abs_path, '/')), unnest(range(2, len(p))) AS u(k) GROUP BY 1",
     "dir_totals": f"WITH {_BELOW} SELECT dir_id, count(*) AS file_count, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_size, max(mtime) AS newest FROM below GROUP BY dir_id",
@@ -148,6 +178,13 @@ WITH {_BELOW}, {_NEAR},
 c AS (SELECT DISTINCT dir_id AS s, rel_path || '|' || sha256 AS x FROM below WHERE depth = 1 AND sha256 <> ''),
 cz AS (SELECT s, count(*) AS n FROM c GROUP BY s),
 ck AS (SELECT p.s AS a, q.s AS b, count(*) AS k FROM c p JOIN c q ON p.x = q.x AND p.s < q.s GROUP BY ALL)
+SELECT n.*, coalesce(ck.k, 0) / (p.n + q.n - coalesce(ck.k, 0)) AS structural FROM near n LEFT JOIN ck ON ck.a = n.a AND ck.b = n.b JOIN cz p ON p.s = n.a JOIN cz q ON q.s = n.b WHERE similarity >= 0.1""",
+    "near_dirs_whole": f"WITH {_BELOW}, {_NEAR_WHOLE} SELECT * FROM near WHERE similarity >= 0.5",
+    "near_dirs_low_whole": f"""
+WITH {_BELOW}, {_NEAR_WHOLE},
+c AS (SELECT DISTINCT dir_id AS s, rel_path || '|' || sha256 AS x FROM w WHERE sha256 <> ''),
+cz AS (SELECT s, count(*) AS n FROM c GROUP BY s),
+ck AS (SELECT p.s AS a, q.s AS b, count(*) AS k FROM c p JOIN c q ON p.x = q.x AND p.s < q.s GROUP BY ALL)
 SELECT n.*, coalesce(ck.k, 0) / (p.n + q.n - coalesce(ck.k, 0)) AS structural FROM near n LEFT JOIN ck ON ck.a = n.a AND ck.b = n.b JOIN cz p ON p.s = n.a JOIN cz q ON q.s = n.b WHERE similarity >= 0.1""",
     "content_matches": f"""
 WITH {_BELOW},
