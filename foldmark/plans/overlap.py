@@ -13,6 +13,7 @@ from foldmark.operators.skew import split_join
 from foldmark.plans.relational import one_row
 from foldmark.plans.tables import table
 from foldmark.plans.training import resolved_sql
+from foldmark.session import Scratch
 
 #: Least content similarity, depth and files of compared directories; the reference values of the operator.
 LEAST_SIMILARITY, MAX_DEPTH, MIN_FILES = 0.10, 2, 2
@@ -110,28 +111,62 @@ def near_dirs_low_whole(spark: SparkSession, root: str) -> DataFrame:
     return _with_structure(members, similarity.distinct_members(members, "dir_id", "sha256", "depth"))
 
 
-def _match_sides(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Content and structure members of project folders (three files or more) and repositories."""
-    local = _below(spark, root, "depth = 1").where("git_sha1 is not null and git_sha1 <> ''")
+#: Directories matched with repositories: those of a project, and all that are large enough.
+_PROJECTS, _ALL = "depth = 1", f"file_count >= {MATCH_MIN_FILES}"
+
+
+def _match_sides(spark: SparkSession, root: str, where: str = _PROJECTS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Content and structure members of directories (three files or more) and repositories."""
+    local = _below(spark, root, where).where("git_sha1 is not null and git_sha1 <> ''")
     remote = table(spark, root, "github_files").where("git_sha1 is not null and git_sha1 <> '' and repo_id is not null")
     cells = lambda df, s, path: similarity.distinct_members(df.select(F.col(s).alias("s"), F.concat_ws("|", path, "git_sha1").alias("cell")), "s", "cell")
     sets = similarity.distinct_members(local, "dir_id", "git_sha1").where(F.col("n") >= MATCH_MIN_FILES)
     return sets, similarity.distinct_members(remote, "repo_id", "git_sha1"), cells(local, "dir_id", "rel_path"), cells(remote, "repo_id", "path")
 
 
-def content_matches(spark: SparkSession, root: str) -> DataFrame:
-    """JN17, FLT2, FLT6, AGG13, CLS1, CLS2: folders against repositories, with both classifications."""
-    local, remote, local_cells, remote_cells = _match_sides(spark, root)
-    found = similarity.similar_pairs(local, matching.LEAST_CONTENT, remote)
+def _compare(spark: SparkSession, root: str, where: str, found: DataFrame, local_cells: DataFrame, remote_cells: DataFrame) -> tuple[DataFrame, tuple]:
+    """The pairs with common, ahead counts and both similarities, and the arguments of the classifications."""
     tree = similarity.overlaps(found.select("a", "b"), local_cells, remote_cells).withColumnRenamed("k", "tk")
     for side, cells, n in (("a", local_cells, "t1"), ("b", remote_cells, "t2")):
         tree = split_join(tree, cells.select(F.col("s").alias(side), F.col("n").alias(n)).distinct(), [side], "left")
-    rows = found.join(tree, ["a", "b"])
     k, n1, n2 = F.col("k"), F.col("n1"), F.col("n2")
     content, structure = ratio(k, n1 + n2 - k), ratio(F.col("tk"), F.col("t1") + F.col("t2") - F.col("tk"))
-    counts = split_join(rows, rollup.directory_totals(_below(spark, root, "depth = 1")).select(F.col("dir_id").alias("a"), "file_count"), ["a"])
-    args = (content, structure, F.col("file_count"), n2, n1 - k, n2 - k)
-    return counts.select("a", "b", k.alias("common"), (n1 - k).alias("local_ahead"), (n2 - k).alias("remote_ahead"), content.alias("content"), structure.alias("structure"), matching.content_class(*args).alias("class"), matching.graded_class(*args).alias("graded"))
+    counts = split_join(found.join(tree, ["a", "b"]), rollup.directory_totals(_below(spark, root, where)).select(F.col("dir_id").alias("a"), "file_count"), ["a"])
+    rows = counts.select("*", k.alias("common"), (n1 - k).alias("local_ahead"), (n2 - k).alias("remote_ahead"), content.alias("content"), structure.alias("structure"))
+    return rows, tuple(F.col(c) for c in ("content", "structure", "file_count", "n2", "local_ahead", "remote_ahead"))
+
+
+_PAIR = ("a", "b", "common", "local_ahead", "remote_ahead", "content", "structure")
+
+
+def _content_matches(spark: SparkSession, root: str, where: str) -> DataFrame:
+    local, remote, local_cells, remote_cells = _match_sides(spark, root, where)
+    rows, args = _compare(spark, root, where, similarity.similar_pairs(local, matching.LEAST_CONTENT, remote), local_cells, remote_cells)
+    return rows.select(*_PAIR, matching.content_class(*args).alias("class"), matching.graded_class(*args).alias("graded"))
+
+
+def content_matches(spark: SparkSession, root: str) -> DataFrame:
+    """JN17, FLT2, FLT6, AGG13, CLS1, CLS2: project folders against repositories, with both classifications."""
+    return _content_matches(spark, root, _PROJECTS)
+
+
+def content_matches_whole(spark: SparkSession, root: str) -> DataFrame:
+    """content_matches of all directories with MATCH_MIN_FILES, at any depth."""
+    return _content_matches(spark, root, _ALL)
+
+
+def name_only_matches(spark: SparkSession, root: str) -> DataFrame:
+    """JN18: directories with MATCH_MIN_FILES, at any depth, and repositories whose names are alike and whose contents are not, with the ratio of the names and the class."""
+    local, remote, local_cells, remote_cells = _match_sides(spark, root, _ALL)
+    sizes = lambda sets, side, n: sets.select(F.col("s").alias(side), F.col("n").alias(n)).distinct()
+    d = table(spark, root, "directories").select(F.col("id").alias("a"), F.col("name").alias("local_name")).join(sizes(local, "a", "n1"), "a")
+    r = table(spark, root, "github_repos").select(F.col("id").alias("b"), F.col("name").alias("remote_name")).join(sizes(remote, "b", "n2"), "b")
+    alike = Scratch(spark, "names").write(matching.similar_names(d.select("local_name"), r.select("remote_name")), "alike")
+    # a pair without common members has k = 0, so the bound is the anti-join with the content matches
+    found = similarity.overlaps(alike.join(d, "local_name").join(r, "remote_name").select("a", "b", "n1", "n2", "ratio"), local, remote)
+    found = found.where(F.col("k") < F.lit(matching.LEAST_CONTENT) * (F.col("n1") + F.col("n2") - F.col("k")) - 1e-9)
+    rows, args = _compare(spark, root, _ALL, found, local_cells, remote_cells)
+    return rows.select(*_PAIR, "ratio", matching.graded_class(*args).alias("graded"))
 
 
 def name_matches(spark: SparkSession, root: str) -> DataFrame:
@@ -140,7 +175,7 @@ def name_matches(spark: SparkSession, root: str) -> DataFrame:
     return matching.similar_names(d, table(spark, root, "github_repos").select("name"))
 
 
-QUERIES = {f.__name__: f for f in (file_ancestors, dir_totals, dir_hashes, stale_counts, equal_dirs, equal_dir_pairs, pairs_possible, near_dirs, near_dirs_low, near_dirs_whole, near_dirs_low_whole, content_matches, name_matches)}
+QUERIES = {f.__name__: f for f in (file_ancestors, dir_totals, dir_hashes, stale_counts, equal_dirs, equal_dir_pairs, pairs_possible, near_dirs, near_dirs_low, near_dirs_whole, near_dirs_low_whole, content_matches, content_matches_whole, name_only_matches, name_matches)}
 
 _BELOW = f"""
 live AS (SELECT * FROM (SELECT *, {resolved_sql("abs_path")} AS place FROM files) QUALIFY row_number() OVER (PARTITION BY place ORDER BY scanned_at DESC, id DESC) = 1),
@@ -195,6 +230,23 @@ lc AS (SELECT DISTINCT dir_id AS s, rel_path || '|' || git_sha1 AS x FROM below
 lcz AS (SELECT s, count(*) AS n FROM lc GROUP BY s), rcz AS (SELECT s, count(*) AS n FROM rc GROUP BY s),
 tk AS (SELECT lc.s AS a, rc.s AS b, count(*) AS k FROM lc JOIN rc ON lc.x = rc.x GROUP BY ALL),
 fc AS (SELECT dir_id, count(*) AS n FROM below WHERE depth = 1 GROUP BY 1),
+j AS (SELECT k.a, k.b, k.k AS common, lz.n - k.k AS local_ahead, rz.n - k.k AS remote_ahead, k.k / (lz.n + rz.n - k.k) AS content, coalesce(tk.k, 0) / (lcz.n + rcz.n - coalesce(tk.k, 0)) AS structure, fc.n = rz.n AS same_count
+  FROM k JOIN lz ON lz.s = k.a JOIN rz ON rz.s = k.b JOIN lcz ON lcz.s = k.a JOIN rcz ON rcz.s = k.b JOIN fc ON fc.dir_id = k.a LEFT JOIN tk ON tk.a = k.a AND tk.b = k.b)
+SELECT a, b, common, local_ahead, remote_ahead, content, structure,
+  CASE WHEN structure = 1 AND same_count THEN 'exact' WHEN local_ahead > 0 AND remote_ahead = 0 THEN 'local_is_ahead' WHEN remote_ahead > 0 AND local_ahead = 0 THEN 'github_is_ahead' WHEN local_ahead > 0 AND remote_ahead > 0 THEN 'diverged' ELSE 'partial_match' END AS class,
+  CASE WHEN structure = 1 AND same_count THEN 'exact' WHEN content >= 0.8 AND local_ahead > 0 AND remote_ahead = 0 THEN 'local_is_ahead' WHEN content >= 0.8 AND remote_ahead > 0 AND local_ahead = 0 THEN 'github_is_ahead'
+    WHEN content >= 0.8 OR content >= 0.5 AND local_ahead > 0 AND remote_ahead > 0 THEN 'diverged' ELSE 'partial_match' END AS graded
+FROM j WHERE content >= 0.15""",
+    "content_matches_whole": f"""
+WITH {_BELOW},
+w AS (SELECT b.* FROM below b JOIN directories d ON d.id = b.dir_id WHERE d.file_count >= 3),
+l AS (SELECT DISTINCT dir_id AS s, git_sha1 AS x FROM w WHERE git_sha1 <> ''), lz AS (SELECT s, count(*) AS n FROM l GROUP BY s HAVING count(*) >= 3),
+r AS (SELECT DISTINCT repo_id AS s, git_sha1 AS x FROM github_files WHERE git_sha1 <> '' AND repo_id IS NOT NULL), rz AS (SELECT s, count(*) AS n FROM r GROUP BY s),
+k AS (SELECT l.s AS a, r.s AS b, count(*) AS k FROM l JOIN r ON l.x = r.x GROUP BY ALL),
+lc AS (SELECT DISTINCT dir_id AS s, rel_path || '|' || git_sha1 AS x FROM w WHERE git_sha1 <> ''), rc AS (SELECT DISTINCT repo_id AS s, path || '|' || git_sha1 AS x FROM github_files WHERE git_sha1 <> '' AND repo_id IS NOT NULL),
+lcz AS (SELECT s, count(*) AS n FROM lc GROUP BY s), rcz AS (SELECT s, count(*) AS n FROM rc GROUP BY s),
+tk AS (SELECT lc.s AS a, rc.s AS b, count(*) AS k FROM lc JOIN rc ON lc.x = rc.x GROUP BY ALL),
+fc AS (SELECT dir_id, count(*) AS n FROM w GROUP BY 1),
 j AS (SELECT k.a, k.b, k.k AS common, lz.n - k.k AS local_ahead, rz.n - k.k AS remote_ahead, k.k / (lz.n + rz.n - k.k) AS content, coalesce(tk.k, 0) / (lcz.n + rcz.n - coalesce(tk.k, 0)) AS structure, fc.n = rz.n AS same_count
   FROM k JOIN lz ON lz.s = k.a JOIN rz ON rz.s = k.b JOIN lcz ON lcz.s = k.a JOIN rcz ON rcz.s = k.b JOIN fc ON fc.dir_id = k.a LEFT JOIN tk ON tk.a = k.a AND tk.b = k.b)
 SELECT a, b, common, local_ahead, remote_ahead, content, structure,
