@@ -86,7 +86,9 @@ def matches(documents: DataFrame, doc_id: str, text: str, catalogue: list[X.Exem
     Term weights are idf over all windows of all documents. A term's posting
     list in the inverted index names the exemplars that it helps to retrieve:
     the heaviest core terms, such that without any of them no window can contain
-    enough of the core. Retrieved windows are then scored on all terms:
+    enough of the core. An exemplar without a core retrieves the windows that
+    meet its least number of terms, which scoring asks for anyway, so neither
+    way loses a match, however frequent the terms are. Retrieved windows are then scored on all terms:
     containment is the share of the core's weight found in the window, coverage
     the share of the window's weight that the exemplar explains. The number of
     exemplars is fixed, so the index is small whatever the corpus.
@@ -103,7 +105,7 @@ def matches(documents: DataFrame, doc_id: str, text: str, catalogue: list[X.Exem
     met = {r["term"]: r["weight"] for r in counts.where(F.col("term").isin(vocabulary)).select("term", idf.alias("weight")).collect()}
     rare = max([*met.values(), 1.0])
     weight = {t: met.get(t, rare) for t in vocabulary}
-    index, rules, keys = [], [], set()
+    index, rules, keys, coreless = [], [], set(), []
     for k, e in enumerate(catalogue):
         core, around = _terms(e.core), _terms(e.around)
         total = sum(weight[t] for t in core)
@@ -116,11 +118,13 @@ def matches(documents: DataFrame, doc_id: str, text: str, catalogue: list[X.Exem
             if left < CONTAINMENT * total:
                 break
         if not core:
-            # without a core nothing is retrieved by it, so all but its most frequent words retrieve
-            keys.update(t for t in around if weight[t] > rare / 3)
+            coreless.append((sorted(around), e.least_terms))
     postings = F.broadcast(spark.createDataFrame(index, "term string, exemplar int, core boolean"))
     rule = F.broadcast(spark.createDataFrame(rules, "exemplar int, residue boolean, core_weight double, least_coverage double, least_terms int"))
-    retrieved = parts.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(keys)])))
+    wanted = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(keys)]).cast("array<string>"))
+    for words, least in coreless:
+        wanted = wanted | (F.size(F.filter("terms", lambda x: x.isin(words))) >= least)  # noqa: B023 - called at once
+    retrieved = parts.where(wanted)
     scored = split_join(retrieved.select("doc_id", "w", F.explode("terms").alias("term")), counts, ["term"]).withColumn("weight", idf)
     scored = scratch.write(scored.select("doc_id", "w", "term", "weight"), "scored")
     totals = scored.groupBy("doc_id", "w").agg(F.sum("weight").alias("window_weight"))

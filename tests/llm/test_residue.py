@@ -41,3 +41,12 @@ def test_nothing_to_search(spark, texts):
 def test_scores(spark):
     got = matches(frame(spark), "doc_id", "text").collect()
     assert all(0.79 <= r["containment"] <= 1.0 + 1e-9 and 0 < r["coverage"] <= 1.0 + 1e-9 for r in got)
+
+
+def test_filler_that_holds_a_third_of_the_corpus_is_found(spark):
+    filler = spark.range(300).selectExpr("id as doc_id", "'Lorem ipsum dolor sit amet, consectetur adipiscing elit.' as text")
+    notes = spark.range(1000, 1600).selectExpr("id as doc_id", "concat('The scanner lists folder ', id, ' for the crew and keeps its notes.') as text")
+    # a catalogue term met once sets the largest weight
+    once = spark.createDataFrame([(2000, "The mockup has a maintenance column.")], "doc_id long, text string")
+    found = {r["doc_id"] for r in residue_documents(filler.unionByName(notes).unionByName(once), "doc_id", "text").collect()}
+    assert found == set(range(300))
