@@ -1,109 +1,48 @@
-"""Labelled exemplars of template residue, filler, error pages and script notices, and of sentences that only write about them.
+"""Labelled exemplars of template residue, filler, error pages and script notices, and of sentences that show residue on purpose.
 
-The word lists below are fixed values.
+They are data: ``exemplars.tsv`` lists them by kind, and the same normalisation
+that cuts documents into windows cuts them into terms.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass
 from itertools import product
 
-#: Tokens that normalisation puts in place of an unfilled placeholder, of one in plain square brackets, and of a word or word pair said three times or more or keys hit at random.
-MARK, BRACKET, REPEAT = "zqmark", "zqbracket", "zqrepeat"
-#: Tokens for the verbs of script notices, for what they ask to switch on, and for HTTP status codes of errors.
-ENABLE, SCRIPTS, STATUS = "zqenable", "zqscripts", "zqstatus"
+FILE = os.path.join(os.path.dirname(__file__), "exemplars.tsv")
 
 
 @dataclass(frozen=True)
-class Exemplar:
-    """``core`` must be contained in a window nearly whole; ``around`` are words that usually come with it and count as covered.
+class Kind:
+    """``coverage``: least share of a window's weight that the kind's vocabulary must cover; ``least_terms``: least number of its terms met; ``residue`` is false for what excuses a placeholder."""
 
-    ``coverage`` is the least share of the window's weight that core and around
-    must cover, ``least_terms`` the least number of different terms met;
-    ``residue`` is false for sentences that write about residue, and ``shows``
-    true for those that show a placeholder in square brackets.
-    """
-
-    core: str
-    around: str = ""
-    coverage: float = 0.6
+    coverage: float
     least_terms: int = 1
     residue: bool = True
-    shows: bool = False
-
-
-#: HTTP status codes of error pages, and the reasons they give.
-STATUS_CODES = (400, 401, 402, 403, 404, 405, 406, 408, 409, 410, 418, 421, 423, 425, 429, 431, 451, 500, 501, 502, 503, 504, 505, 507, 508, 511, 520, 521, 522, 523, 524)
-REASONS = (
-    "not found", "file not found", "page not found", "forbidden", "unauthorized", "access denied", "bad request", "bad gateway", "gateway timeout", "gateway time out", "request timeout",
-    "internal server error", "service unavailable", "unavailable", "gone", "too many requests", "method not allowed", "unavailable for legal reasons", "payment required",
-)
-ERROR_WORDS = f"error {STATUS} http status code reason message trace request reference id"
-
-#: Sentences of error and access pages.
-ERROR_SENTENCES = (
-    "the upstream answered with", "your session has expired", "log in again to view", "please sign in to continue", "please log in to continue", "the page you asked for does not exist or was moved",
-    "the page you requested could not be found", "this repository is temporarily unavailable while maintenance is under way", "this site is temporarily unavailable", "refresh the page or come back later",
-    "api rate limit exceeded for this address", "sign in for a higher limit", "error rate limited retry after", "gateway timeout no answer within ms", "whoops something broke on our side reference",
-    "oops something went wrong please try again later", "an unexpected error occurred", "the server is busy try again in minutes", "you do not have permission to view this page", "traceback most recent call last",
-    "the requested url was not found on this server", "this page could not be displayed", "seite nicht gefunden", "fehler die seite wurde nicht gefunden", "zugriff verweigert", "interner serverfehler",
-    "erreur cette page est introuvable", "page introuvable", "accès refusé", "acces refuse", "error la página no existe", "pagina no encontrada", "página no encontrada", "acceso denegado",
-    "erro falha interna do servidor", "página não encontrada", "pagina nao encontrada", "acesso negado", "sorry the page is not available", "the link has expired",
-)
 
-#: Sentences that ask for scripts, cookies or a browser check.
-NOTICE_SENTENCES = (
-    f"please {ENABLE} {SCRIPTS} to view this page", f"this app works only with {SCRIPTS} enabled", f"you need to {ENABLE} {SCRIPTS} to run this app", f"cookies and {SCRIPTS} must both be allowed here", f"{SCRIPTS} is disabled",
-    f"{SCRIPTS} is required to view this page", "checking your browser before opening", "checking your browser before accessing", "sorry we have to ask are you a robot", "verify that you are human", "please complete the security check to continue",
-    f"requires a {SCRIPTS} capable browser", f"we noticed that {SCRIPTS} are switched off", "switch them on and reload", f"your browser blocks {SCRIPTS} the file browser cannot start", f"{SCRIPTS} must be on for the repo viewer",
-    f"bitte {SCRIPTS} einschalten um diese seite zu sehen", f"bitte aktivieren sie {SCRIPTS} in ihrem browser", f"veuillez activer {SCRIPTS} pour afficher ce contenu", f"active {SCRIPTS} en su navegador para continuar",
-    f"ative o {SCRIPTS} para ver esta página", f"habilite {SCRIPTS} en su navegador", f"{SCRIPTS} désactivé dans votre navigateur", "enable cookies to continue",
-)
-NOTICE_WORDS = "please kindly you must need to go on see view it looks like have not done this yet asks ask your browser for site and reload the page continue before file tree can be shown in first then again use"
-#: Verbs and objects of script notices, longest first.
-ENABLE_FORMS = ("turn on", "switch on", "turned on", "switched on", "enable", "activate", "allow", "permit")
-SCRIPT_FORMS = ("client side scripts", "client side scripting", "javascript", "scripting", "scripts", "js")
 
-#: Filler sentences in five languages.
-FILLER_SENTENCES = (
-    "content coming soon", "check back later", "section under construction wording to follow", "this page is under construction", "this is placeholder copy for the page", "your text will appear in this space", "your text goes here",
-    f"{REPEAT} more of the same later", "heading one", "heading two", "heading three", "body copy", "replace this paragraph with your own words", "sample text goes here", "test test please ignore", "dies ist nur ein blindtext", "hier steht später ein text", "hier steht spater ein text",
-    "texte provisoire à remplacer avant publication", "texto de relleno sustituir antes de publicar", "texto de exemplo trocar antes de publicar", "ceci est un texte factice", "este es un texto de ejemplo", "aqui vai o texto", "description goes here", "add your content here", "type your text here", "placeholder text", "type a short introduction to in this box",
-    "qwerty qwerty uiop uiop zxcv", f"{REPEAT} jkl jkl", "foo bar baz", "asdf jkl", "tbd to be determined", "we could not load this file",
-)
-FILLER_VERBS = "insert drop in enter put add write type"
-FILLER_OBJECTS = ("a caption", "some copy", "an intro paragraph", "your summary", "two or three sentences", "a headline", "a description", "your text", "a title")
-FILLER_TAILS = ("here", "in this block", "for the final version", "to be done", "when known", "dummy", "later")
+KINDS = {
+    "slot": Kind(0.5), "blank": Kind(0.6), "error": Kind(0.7), "notice": Kind(0.7), "stub": Kind(0.7), "sample": Kind(0.7),
+    "latin": Kind(0.7, 3), "repeat": Kind(0.6), "mention": Kind(0.0, residue=False),
+}
 
-#: Words of the usual pseudo-Latin filler.
-LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
-    "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "vestibulum ornare rutrum felis lacinia vitae congue pharetra mauris tellus turpis justo sodales dapibus egestas porta curabitur pellentesque habitant morbi tristique senectus netus malesuada fames ac "
-    "vivamus suspendisse potenti praesent donec integer nec odio libero cursus ante diam nibh elementum imperdiet sagittis augue semper fusce massa maecenas phasellus ultrices posuere cubilia curae sapien quam "
-    "viverra orci vel eros gravida tortor lectus urna molestie convallis aenean faucibus purus interdum varius etiam nunc risus nam blandit luctus aliquam erat volutpat hendrerit metus mattis"
-)
 
-#: Sentences that quote residue, report it or write about it.
-ABOUT = (
-    "style guide never ship text like or todo blocks", "mustache tags like confuse it the braces as a folder name", "the release note template keeps a slot such as and fills it", "the generator own docs explain that is replaced per row and that is the older form",
-    "fixed the script header printed literally when had no description", "now falls back to the folder name", f"the dashboard needs {SCRIPTS} sorting and paging run in the browser so please {ENABLE} it in kiosk mode and rows are embedded in the page",
-    f"users without scripts see a notice that {SCRIPTS} is required we moved it into and nobody complained", f"when a repository was deleted the fetcher gets a {STATUS} not found and marks as gone", f"between and the next run the api returned {STATUS} bad gateway times the retried and finished with files",
-    f"reviewed the error page of wording for {STATUS} and is now the same and link works again", "the page titled page not found in is a design mock with variants for the keeps it under", "service unavailable try later", "access denied for the",
-    "column counts folders where the walker had no rights", "we dropped pages of lorem ipsum from the crawl because them as real notes", "a sample text for the banner was approved on it replaces the filler in", "if the host says too many requests wait minutes keeps its place in the list",
-    f"answered {STATUS} marked as gone", "permission denied skipping", "the rate limit is calls per hour", "variable names is the folder the remote side and files carry neither",
-)
+def expanded(text: str) -> list[str]:
+    """All texts that the alternatives in round brackets form; ``$(`` and ``%(`` open none."""
+    parts = re.split(r"(?<![$%])\(([^()]*\|[^()]*)\)", text)
+    return ["".join(x) for x in product(*[p.split("|") if k % 2 else [p] for k, p in enumerate(parts)])]
 
 
-def exemplars() -> list[Exemplar]:
-    """All exemplars, in a fixed order."""
-    out = [Exemplar(MARK, coverage=0.0), Exemplar(BRACKET, coverage=0.0), Exemplar(REPEAT, "body copy text", 0.5)]
-    out += [Exemplar(reason, ERROR_WORDS) for reason in REASONS]
-    out += [Exemplar(s, ERROR_WORDS) for s in ERROR_SENTENCES]
-    out += [Exemplar(f"status code {STATUS}", ERROR_WORDS), Exemplar(f"error {STATUS}", ERROR_WORDS), Exemplar(f"{ENABLE} {SCRIPTS}", NOTICE_WORDS)]
-    out += [Exemplar(s, NOTICE_WORDS) for s in NOTICE_SENTENCES]
-    out += [Exemplar(s) for s in FILLER_SENTENCES]
-    out += [Exemplar(f"{what} {tail}", FILLER_VERBS, 0.8) for what, tail in product(FILLER_OBJECTS, FILLER_TAILS)]
-    out.append(Exemplar("", LATIN, 0.75, 3))
-    out += [Exemplar(s, coverage=0.0, residue=False, shows="never ship text" in s) for s in ABOUT]
-    return out
+def exemplars(path: str = FILE) -> list[tuple[str, bool, str]]:
+    """kind, whether it is an exemplar (else covered words of the kind), and text, once each in file order."""
+    out: dict[tuple[str, bool, str], None] = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if line.strip() and not line.startswith("#"):
+                kind, text = line.rstrip("\n").split("\t", 1)
+                out |= {(kind.rstrip("~"), not kind.endswith("~"), " ".join(t.split())): None for t in expanded(text)}
+    if unknown := {k for k, *_ in out} - KINDS.keys():
+        raise ValueError(f"kinds without a rule: {sorted(unknown)}")
+    return list(out)

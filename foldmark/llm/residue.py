@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmark.llm import exemplars as X
@@ -12,146 +12,181 @@ from foldmark.operators.layout import spread
 from foldmark.operators.skew import split_join
 from foldmark.session import Scratch
 
-#: Least share of an exemplar's core that a window must contain, by TF-IDF weight.
+#: Least share of an exemplar that a window must contain, by TF-IDF weight.
 CONTAINMENT = 0.8
 
-_FIELD = r"[A-Za-z][A-Za-z0-9]*(?:[ _.-][A-Za-z0-9]+){0,3}"
-#: Notations of unfilled placeholders: fixed values.
-_MARKS = (
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^{}\n]{1,60}%\}", r"<%[^<>\n]{1,60}%>", r"\$\{[A-Za-z_][\w.:-]{0,60}\}", r"\$\([A-Z_][A-Z0-9_]{1,40}\)", r"#\{[A-Za-z_][\w.]{0,60}\}", r"%\([A-Za-z_]\w{0,40}\)[sd]", r"%%[A-Za-z_]\w{0,40}%%", r"@@[A-Za-z_]\w{0,40}@@", r"(?<![\w$])\$[A-Z][A-Z0-9_]{1,40}\$(?![\w$])",
-    r"::[A-Za-z_]\w{1,40}::", r"\[\[[^\[\]\n]{1,40}\]\]", rf"<!-- ?{_FIELD} ?-->", r"«[A-Za-z_]{2,40}»", r"\bXXXX-[A-Za-z_ ]{1,40}-XXXX\b", r"\bxxxx-[a-z_ ]{1,40}-xxxx\b", r"\{[A-Za-z0-9_]{1,40}\}",
-    r"\b__(?!(?:init|main|name|file|all|doc|str|repr|len)__)[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+){0,6}__", rf"\b(?i:todo): add {_FIELD}", rf"(?i:<your {_FIELD}>)", r"<(?!/?(?:HTML|HEAD|TITLE|BODY|H[1-6]|P|DIV|SPAN|NOSCRIPT|BR|HR|A|B|I|UL|OL|LI|PRE|CODE|TABLE|TR|TD|TH|META|LINK|SCRIPT|STYLE)>)[A-Z]{3,}(?:[ _][A-Z]+){0,2}>",
+#: HTTP status codes of error pages: fixed values.
+STATUS_CODES = (400, 401, 402, 403, 404, 405, 406, 407, 408, 409, 410, 411, 412, 413, 414, 415, 417, 418, 421, 422, 423, 425, 426, 428, 429, 431, 451, 500, 501, 502, 503, 504, 505, 507, 508, 511, 520, 521, 522, 523, 524, 525, 526)
+#: Terms of an HTTP status, of a word said three times or more or keys hit at random, and of capitals alone between delimiters.
+STATUS, REPEAT, CAPS = "‹status›", "‹repeat›", "‹caps›"
+#: Names with two underscores on both sides that a language defines, and HTML elements: fixed values.
+_DUNDERS = "init|main|name|file|all|doc|str|repr|len|new|del|call|dict|class|enter|exit|iter|next|eq|hash|version|author|future|slots|pycache|tests|mocks"
+_ELEMENTS = "HTML|HEAD|TITLE|BODY|H[1-6]|P|DIV|SPAN|NOSCRIPT|BR|HR|A|B|I|UL|OL|LI|PRE|CODE|TABLE|TR|TD|TH|META|LINK|SCRIPT|STYLE|IMG|EM|STRONG|FORM|INPUT|CENTER|FONT"
+#: Notations that have no use in prose but to be filled: fixed values.
+_HARD = (
+    r"\{\{[^{}]++\}\}", r"\{%(?:[^{}%]|%(?!\}))++%\}", r"<%(?:[^<>%]|%(?!>))++%>", r"\$\{[^{}]++\}", r"\$\([A-Z_][A-Z0-9_]*+\)", r"#\{[^{}]++\}", r"%\([A-Za-z_]\w*+\)[sdfr]", r"%%[A-Za-z_]\w*+%%", r"@@[A-Za-z_]\w*+@@", r"(?<![\w$])\$[A-Z][A-Z0-9_]++\$(?![\w$])",
+    r"::[A-Za-z_]\w*+::", r"\[\[[^\[\]]++\]\]", r"<<[A-Za-z_ ]++>>", r"\*\|[A-Z_:]++\|\*", r"\bXXXX-[A-Za-z_ ]++-XXXX\b", r"\bxxxx-[a-z_ ]++-xxxx\b", rf"\b__(?!(?:{_DUNDERS})__)[A-Za-z][A-Za-z0-9]*+(?:_[A-Za-z0-9]++)*+__(?!\w)", r"\{[A-Za-z0-9_][\w.-]*+\}",
 )
-_BRACKETS = (
-    rf"(?i:\[(?:insert|enter|add|your|insérer|ins.{{1,3}}rer|inserir|insira|poner|insertar|colocar) [^\[\]\n]{{1,40}}\])", r"(?i:\[[^\[\]\n]{1,40} (?:einf\S{1,3}gen|goes here|here|aqu\S{1,3})\])", r"\[[A-Z][a-z]{2,}(?: [A-Z][a-z]+){0,2}\](?!\()",
+#: Notations that also have other uses, so that their words decide: fixed values.
+_SOFT = (
+    r"\[[^\[\]]++\](?![(\[:])", rf"<(?!(?:{_ELEMENTS})>)[A-Za-z][^<>/=\"]*+>", r"<!-- ?[A-Za-z][\w .-]*?-->", r"«[A-Za-z_][^«»]*+»", r"\{[A-Za-z][\w.-]*+(?: [\w.-]++)++\}", r"(?<![\w%])%[A-Z][A-Z0-9_]++%(?![\w%])", r"\b(?:TODO|todo|Todo): ?[A-Za-z]++(?: [\w-]++)?",
 )
-#: Page furniture around error pages; it ends a passage.
-_FURNITURE = (r"Home \| Repos \| Sign in", "Skip to content", r"Menu\s+Search\s+Help", "Back to the start page", r"\(c\) \d{4} hosted pages", "Status - Docs - Contact")
-
-
-def _replace(text: Column, pattern: str, by: str) -> Column:
-    return F.regexp_replace(text, F.lit(pattern), F.lit(by))
-
-
-def windows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, w, terms: the different terms of each passage window (a sentence or line) of each document.
-
-    Code, fenced or between backticks, and a placeholder set directly in
-    quotation marks are taken out: a text that quotes residue is no case. Names,
-    numbers and digests carry no weight and are dropped. Null and blank texts
-    have no window; texts of any length are read whole.
+_SPANS = rf"(?=[{{<$#%@:\[«XxTt_*])(?:{'|'.join(_HARD + _SOFT)})"
+_QUOTED = rf"[\"“”'](?:{_SPANS})[\"“”']"
+#: Start of a line that a program logged, or of a list entry that explains a code.
+_REPORTED = r"^(?:\s*[-*•] ?\d{1,3} ?[:=] |\W{0,3}(?:\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?:DEBUG|INFO|WARN|WARNING|TRACE)\b|[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d |\d{1,3}(?:\.\d{1,3}){3} - ))"
+#: Ends of sentences, but not inside brackets that close in the next one.
+_SENTENCE = r"(?<=[.!?])\s+(?![^\[\]{}<>.!?]*[\]}>])"
+_RUN = r"\b(\p{L}{3,}+(?: \p{L}++)??)(?:[ ,]+\1\b){2,}+"
+_NAMES = r"(?<!\p{L})\p{L}*+[\p{N}_/-][\p{L}\p{N}_/-]*+"
+_COMPOUND = r"(?<![\p{L}\p{N}_/-])\p{L}++[-_]\p{L}++(?![\p{L}\p{N}_/-])"
+_STATUS = rf"(?<![\w/.-])(?=[45]\d\d)(?:{'|'.join(map(str, STATUS_CODES))})(?![\w/-])"
+_KEY_ROWS = ("asdfghjkl", "qwertyuiop", "zxcvbnm")
+
+#: A window; rows that repeat a doc_id may differ, so its content is part of the key.
+_WINDOW = ["doc_id", "w", "part", "print"]
+
+
+def _guarded(text: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
+    """Replace only where one of the literal marks occurs, which most texts fail at once."""
+    there = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks])
+    return F.when(there, F.regexp_replace(text, F.lit(pattern), F.lit(by))).otherwise(text)
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _span_terms(span: Column) -> Column:
+    """Terms of a placeholder: its opening delimiter as a shape and, where the notation has other uses, capitals and its words."""
+    opening = F.regexp_extract(span, r"^(?:\{\{|\{%|<%|\$\{|\$\(|#\{|%\(|%%|@@|\[\[|<!--|::|<<|\*\||__|(?:XXXX|xxxx)-|[\[<«{$%])", 0)
+    hard = ~opening.isin("", "[", "<", "«", "<!--", "%", "{") | ((opening == "{") & ~F.contains(span, F.lit(" ")))
+    words = F.filter(F.split(F.lower(span), r"[^\p{L}]+"), lambda x: x != "")
+    capitals = F.when(span.rlike(r"\p{Lu}{2}") & ~span.rlike(r"\p{Ll}"), F.array(F.lit(CAPS))).otherwise(_none())
+    shape = F.when(opening == "", _none()).otherwise(F.array(F.concat(F.lit("‹"), F.lower(opening), F.lit("›"))))
+    return F.array_distinct(F.concat(shape, F.when(hard, _none()).otherwise(F.concat(capitals, words))))
+
+
+def windows(documents: DataFrame, doc_id: str, text: str, vocabulary: list[str] | None = None) -> DataFrame:
+    """doc_id, w, part, terms: the different terms of each passage window of each document.
+
+    A passage is a line or a sentence of one; ``w`` counts them. Part 0 is the
+    passage itself, parts from 1 on are the placeholders in it, each a window of
+    its own. Names, numbers, paths and digests are no terms. Code, fenced, between backticks or in code elements, and a
+    placeholder set directly in quotation marks are taken out: a text that
+    quotes residue is no case. Of a line that a program logged, or a list
+    entry that explains a code, only the placeholders are windows. Compounds count where the ``vocabulary`` knows
+    them joined (without one, all do). Null and blank texts have no window;
+    texts of any length are read whole.
     """
     t = F.col(text)
-    # repeated groups are bounded, as Java recurses into them: what is longer matches again
-    t = _replace(t, r"\r\n?|\x{2028}|\x{2029}", "\n")
-    t = _replace(t, r"[\x{a0}\t]", " ")
-    t = _replace(t, r"(?s)```.*?(?:```|\z)", "\n")
-    t = _replace(t, r"`[^`\n]*`", " ")
-    # the lookaheads name the first characters of the alternatives, so most places fail at once
-    marks = rf"(?=[{{<$#%@:\[«Xx_Tt])(?:{'|'.join(_MARKS)})"
-    t = _replace(t, rf"[\"“”'](?:{marks})[\"“”']", " ")
-    t = _replace(t, marks, f" {X.MARK} ")
-    t = _replace(t, rf"(?=\[)(?:{'|'.join(_BRACKETS)})", f" {X.BRACKET} ")
-    t = _replace(t, r"</?[A-Za-z][A-Za-z0-9]*(?: [^<>\n]{0,80})?>", " ")
-    t = _replace(t, rf"(?i)(?=[HSMB(])(?:{'|'.join(_FURNITURE)})", "\n")
-    t = F.lower(t)
-    t = _replace(t, r"\b(\w{3,}+(?: \w++)??)(?:[ ,]+\1\b){2,20}", f" {X.REPEAT}<$1> ")
-    # what the bound has left over of a long run
-    t = _replace(t, rf"{X.REPEAT}<([^<>\n]*)> +\1\b(?:[ ,]+\1\b)?", f" {X.REPEAT} ")
-    t = _replace(t, rf"{X.REPEAT}<[^<>\n]*>", f" {X.REPEAT} ")
-    # keys of the home row hit at random
-    t = _replace(t, r"\b[asdfghjkl]{2,}+(?: [asdfghjkl]{2,}+){3,20}\b", f" {X.REPEAT} ")
-    t = _replace(t, r"client-side", "client side")
-    t = _replace(t, r"script-capable", "scripts capable")
-    t = _replace(t, r"time-out", "time out")
-    t = _replace(t, r"rate_limited", "rate limited")
-    t = _replace(t, r"retry_after", "retry after")
-    # repository and folder names, paths
-    t = _replace(t, r"(?:/[\w.()-]{1,255}){2,40}|\b[a-z0-9]+(?:[-_/][a-z0-9]+){1,20}\b", " ")
-    t = _replace(t, rf"\b(?:{'|'.join(map(str, X.STATUS_CODES))})\b", f" {X.STATUS} ")
-    t = _replace(t, rf"\b(?:{'|'.join(X.ENABLE_FORMS)})\b", f" {X.ENABLE} ")
-    t = _replace(t, rf"\b(?:{'|'.join(X.SCRIPT_FORMS)})\b", f" {X.SCRIPTS} ")
-    passages = spread(documents.select(doc_id, text)).where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(t, r"\n|(?<=[.!?])\s+")).alias("w", "passage"))
-    terms = F.filter(F.array_distinct(F.split("passage", r"[^\p{L}\p{N}]+")), lambda x: (x != "") & ~x.rlike(r"\p{N}"))
-    return passages.select("doc_id", "w", terms.alias("terms")).where(F.size("terms") > 0)
-
-
-def _terms(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"[^\W\d_]+", text.lower())))
-
-
-def matches(documents: DataFrame, doc_id: str, text: str, catalogue: list[X.Exemplar] | None = None) -> DataFrame:
-    """Passage windows that match an exemplar: doc_id, w, exemplar, residue, containment, coverage.
-
-    Term weights are idf over all windows of all documents. A term's posting
-    list in the inverted index names the exemplars that it helps to retrieve:
-    the heaviest core terms, such that without any of them no window can contain
-    enough of the core. An exemplar without a core retrieves the windows that
-    meet its least number of terms, which scoring asks for anyway, so neither
-    way loses a match, however frequent the terms are. Retrieved windows are then scored on all terms:
-    containment is the share of the core's weight found in the window, coverage
-    the share of the window's weight that the exemplar explains. The number of
-    exemplars is fixed, so the index is small whatever the corpus.
+    t = _guarded(t, ("`",), r"(?s)```.*?(?:```|\z)|`[^`\n]*+`", " ")
+    t = _guarded(t, ("<code", "<pre"), r"(?s)<(code|pre)\b.*?</\1>", " ")
+    t = _guarded(t, ("\t", "\u00a0"), r"[\x{a0}\t]", " ")
+    lines = F.split(t, r"[\r\n\x{2028}\x{2029}]+")
+    cut = F.flatten(F.transform(lines, lambda x: F.when(x.rlike(_REPORTED), F.array(x)).otherwise(F.split(x, _SENTENCE))))
+    rows = spread(documents.select(doc_id, text)).where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.posexplode(cut).alias("w", "passage")).where(F.length("passage") > 1)
+    passage = F.col("passage")
+    marked = passage.rlike(r"[{\[«]|<[A-Za-z!%<]|\$[({A-Z]|%[(%A-Z]|@@|::|__|\*\||XXXX|xxxx|(?i:todo):")
+    spans = F.filter(F.regexp_extract_all("passage", F.lit(f"{_QUOTED}|{_SPANS}"), F.lit(0)), lambda x: ~F.substring(x, 1, 1).isin('"', "“", "”", "'"))
+    spans = F.when(marked, spans).otherwise(_none())
+    rows = rows.select("doc_id", "w", "passage", spans.alias("spans"))
+    prose = F.when(marked, F.regexp_replace("passage", F.lit(_SPANS), F.lit(" "))).otherwise(passage)
+    prose = _guarded(prose, ("<", "&"), r"</?[A-Za-z][^<>]*+>|&[A-Za-z]++;", " ")
+    # one step per column, so that none is evaluated twice
+    rows = rows.select("doc_id", "w", "spans", F.when(passage.rlike(_REPORTED), F.lit("")).otherwise(F.lower(prose)).alias("prose"))
+    prose = F.col("prose")
+    plain = lambda text: F.array_remove(F.split(F.regexp_replace(text, F.lit(_NAMES), F.lit(" ")), r"[^\p{L}]+"), "")
+    rows = rows.select("*", plain(prose).alias("plain"))
+    rows = rows.select("*", F.array_distinct("plain").alias("terms"))
+    mashed = (F.length(prose) >= 8) & reduce(lambda a, b: a | b, [F.translate(prose, row + " ;,.", "") == "" for row in _KEY_ROWS])
+    repeated = F.when(F.size("terms") <= F.size("plain") - 2, prose.rlike(_RUN)).otherwise(F.lit(False))
+    words = F.when(mashed, F.array(F.lit(REPEAT))).when(repeated, F.concat(F.array(F.lit(REPEAT)), F.array_distinct(plain(F.regexp_replace(prose, F.lit(_RUN), F.lit(" ")))))).otherwise(F.col("terms"))
+    known = lambda x: F.lit(True) if vocabulary is None else x.isin(vocabulary)
+    compounds = F.filter(F.transform(F.regexp_extract_all("prose", F.lit(_COMPOUND), F.lit(0)), lambda x: F.translate(x, "-_", "")), known)
+    compounds = F.when(F.contains(prose, F.lit("-")) | F.contains(prose, F.lit("_")), compounds).otherwise(_none())
+    status = F.when(prose.rlike(_STATUS), F.array(F.lit(STATUS))).otherwise(_none())
+    parts = F.concat(F.array(F.concat(words, F.array_except(compounds, "terms"), status)), F.transform("spans", _span_terms))
+    return rows.select("doc_id", "w", F.posexplode(parts).alias("part", "terms")).where(F.size("terms") > 0)
+
+
+def _catalogue(spark: SparkSession) -> tuple[list[tuple[str, frozenset[str]]], dict[str, set[str]]]:
+    """The exemplars as (kind, terms), and the vocabulary of each kind. Both are bounded by the exemplar file."""
+    rows = [(k, *e) for k, e in enumerate(X.exemplars())]
+    texts = spark.createDataFrame([(k, text) for k, _, _, text in rows], "doc_id int, text string")
+    terms: dict[int, set[str]] = {}
+    for r in windows(texts.coalesce(1), "doc_id", "text").select("doc_id", "terms").collect():
+        # the name that stands for any other is no term
+        terms.setdefault(r["doc_id"], set()).update(set(r["terms"]) - {"any"})
+    kinds: dict[str, set[str]] = {}
+    for k, kind, _, _ in rows:
+        kinds.setdefault(kind, set()).update(terms.get(k, ()))
+    return list(dict.fromkeys((kind, frozenset(terms[k])) for k, kind, whole, _ in rows if whole and k in terms)), kinds
+
+
+def matches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Windows that match a kind of exemplars: doc_id, w, part, kind, containment, coverage.
+
+    Term weights are idf over all windows of all documents. The inverted index
+    holds the heaviest terms of each exemplar, such that a window without any
+    of them cannot contain enough of it, so retrieval loses no match, however
+    frequent the terms are. Retrieved windows are then scored on all terms:
+    containment is the share of an exemplar's weight found in the window (the
+    largest over the kind), coverage the share of the window's weight that the
+    kind's vocabulary explains; the kind states the least coverage and number
+    of terms. The catalogue is fixed, so the index is small whatever the corpus.
     """
-    catalogue = X.exemplars() if catalogue is None else catalogue
     spark = documents.sparkSession
     scratch = Scratch(spark, "residue")
-    parts = scratch.write(windows(documents, doc_id, text), "windows")
+    catalogue, kinds = _catalogue(spark)
+    vocabulary = sorted({t for terms in kinds.values() for t in terms})
+    parts = scratch.write(windows(documents, doc_id, text, vocabulary).withColumn("print", F.xxhash64("terms")), "windows")
     n = parts.count()
     counts = scratch.write(parts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "counts")
-    vocabulary = sorted({t for e in catalogue for t in _terms(e.core) + _terms(e.around)})
     idf = F.log((F.lit(n) + 1) / (F.col("df") + 0.5))
     # at most one row per term of the catalogue
     met = {r["term"]: r["weight"] for r in counts.where(F.col("term").isin(vocabulary)).select("term", idf.alias("weight")).collect()}
     rare = max([*met.values(), 1.0])
-    weight = {t: met.get(t, rare) for t in vocabulary}
-    index, rules, keys, coreless = [], [], set(), []
-    for k, e in enumerate(catalogue):
-        core, around = _terms(e.core), _terms(e.around)
-        total = sum(weight[t] for t in core)
-        rules.append((k, e.residue, float(total), float(e.coverage), e.least_terms))
-        index += [(t, k, True) for t in core] + [(t, k, False) for t in around if t not in core]
+    index, keys = [], set()
+    for k, (kind, terms) in enumerate(catalogue):
+        total = sum(met.get(t, rare) for t in terms)
+        index += [(t, k, kind, float(total)) for t in terms]
         left = total
-        for t in sorted(core, key=lambda t: (-weight[t], t)):
+        for t in sorted(terms, key=lambda t: (-met.get(t, rare), t)):
             keys.add(t)
-            left -= weight[t]
+            left -= met.get(t, rare)
             if left < CONTAINMENT * total:
                 break
-        if not core:
-            coreless.append((sorted(around), e.least_terms))
-    postings = F.broadcast(spark.createDataFrame(index, "term string, exemplar int, core boolean"))
-    rule = F.broadcast(spark.createDataFrame(rules, "exemplar int, residue boolean, core_weight double, least_coverage double, least_terms int"))
-    wanted = F.arrays_overlap("terms", F.array(*[F.lit(t) for t in sorted(keys)]).cast("array<string>"))
-    for words, least in coreless:
-        wanted = wanted | (F.size(F.filter("terms", lambda x: x.isin(words))) >= least)  # noqa: B023 - called at once
-    retrieved = parts.where(wanted)
-    scored = split_join(retrieved.select("doc_id", "w", F.explode("terms").alias("term")), counts, ["term"]).withColumn("weight", idf)
-    scored = scratch.write(scored.select("doc_id", "w", "term", "weight"), "scored")
-    totals = scored.groupBy("doc_id", "w").agg(F.sum("weight").alias("window_weight"))
-    hits = scored.join(postings, "term").groupBy("doc_id", "w", "exemplar").agg(
-        F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0.0)).alias("core_met"), F.sum("weight").alias("all_met"), F.count("*").alias("n_met")
-    )
-    judged = hits.join(rule, "exemplar").where((F.col("core_met") >= CONTAINMENT * F.col("core_weight") - 1e-9) & (F.col("n_met") >= F.col("least_terms")))
-    judged = judged.join(totals, ["doc_id", "w"]).where(F.col("all_met") >= F.col("least_coverage") * F.col("window_weight") - 1e-9)
-    containment = F.when(F.col("core_weight") > 0, F.col("core_met") / F.col("core_weight")).otherwise(1.0)
-    return judged.select("doc_id", "w", "exemplar", "residue", containment.alias("containment"), (F.col("all_met") / F.col("window_weight")).alias("coverage"))
+    lookup = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))
+    # the index's dictionary is a few hundred words, so a window is looked up where it lies and moves only if retrieved
+    dictionary = sorted(keys & met.keys())
+    retrieved = parts.where(F.exists("terms", lambda x: x.isin(dictionary)))
+    scored = split_join(retrieved.select(*_WINDOW, F.explode("terms").alias("term")), counts, ["term"]).select(*_WINDOW, F.struct("term", idf.alias("weight")).alias("t"))
+    # a window is one passage, so its terms are those of one row before
+    whole = scratch.write(scored.groupBy(*_WINDOW).agg(F.collect_set("t").alias("ts")).repartition(*_WINDOW), "scored")
+    terms = whole.select(*_WINDOW, F.inline("ts"))
+    contained = terms.join(lookup(index, "term string, exemplar int, kind string, total double"), "term").groupBy(*_WINDOW, "exemplar", "kind", "total").agg(F.sum("weight").alias("found"))
+    contained = contained.where(F.col("found") >= CONTAINMENT * F.col("total") - 1e-9).groupBy(*_WINDOW, "kind").agg(F.max(F.col("found") / F.col("total")).alias("containment"))
+    rules = lookup([(kind, rule.coverage, rule.least_terms) for kind, rule in X.KINDS.items()], "kind string, least_coverage double, least_terms int")
+    kind_terms = lookup([(t, kind) for kind, terms in kinds.items() for t in sorted(terms)], "term string, kind string")
+    covered = terms.join(kind_terms, "term").groupBy(*_WINDOW, "kind").agg(F.sum("weight").alias("covered"), F.count("*").alias("n_met"))
+    totals = whole.select(*_WINDOW, F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["weight"]).alias("weight"))
+    # placeholders are judged by the exemplars of placeholders, passages by the others
+    fits = F.col("kind").isin("slot", "blank") == (F.col("part") > 0)
+    judged = contained.where(fits).join(covered, [*_WINDOW, "kind"]).join(rules, "kind").join(totals, _WINDOW)
+    coverage = F.col("covered") / F.col("weight")
+    return judged.where((coverage >= F.col("least_coverage") - 1e-9) & (F.col("n_met") >= F.col("least_terms"))).select("doc_id", "w", "part", "kind", "containment", coverage.alias("coverage"))
 
 
 def residue_documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id of every document with a window of residue, once each.
 
-    A window of which a sentence about residue explains more than the residue
-    exemplars do is no case. Placeholders
-    count even there, as nothing but code and quotation excuses them; those in
-    plain square brackets are excused by the one sentence that shows them.
-    Null and blank texts and an empty table give no row; rows that repeat a
-    doc_id are judged together.
+    A placeholder in a notation with other uses is excused by a sentence that
+    mentions such notations; one in a notation without other uses by nothing
+    but code and quotation. Null and blank texts and an empty table give no
+    row; rows that repeat a doc_id are judged together.
     """
-    catalogue = X.exemplars()
-    found = matches(documents, doc_id, text, catalogue)
-    is_one = lambda ks: F.max(F.col("exemplar").isin(ks))
-    of = lambda wanted: [k for k, e in enumerate(catalogue) if wanted(e)]
-    verdict = found.groupBy("doc_id", "w").agg(
-        is_one(of(lambda e: e.core == X.MARK)).alias("mark"), is_one(of(lambda e: e.core == X.BRACKET)).alias("bracket"), is_one(of(lambda e: e.shows)).alias("shown"), F.max(F.when(F.col("residue"), F.col("coverage"))).alias("bad"), F.max(F.when(~F.col("residue"), F.col("coverage"))).alias("about")
-    )
-    return verdict.where("mark or (bracket and not shown) or bad >= coalesce(about, 0) - 1e-9").select("doc_id").distinct()
+    found = matches(documents, doc_id, text)
+    residue = [k for k, rule in X.KINDS.items() if rule.residue and k != "blank"]
+    verdict = found.groupBy("doc_id", "w").agg(F.max(F.col("kind").isin(residue)).alias("bad"), F.max(F.col("kind") == "blank").alias("blank"), F.max(F.col("kind") == "mention").alias("shown"))
+    return verdict.where("bad or (blank and not shown)").select("doc_id").distinct()

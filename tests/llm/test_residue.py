@@ -1,5 +1,8 @@
+import os
+
 import pytest
 
+import residue_sets as S
 from foldmark.llm.residue import matches, residue_documents
 
 RESIDUE = [
@@ -40,7 +43,7 @@ def test_nothing_to_search(spark, texts):
 
 def test_scores(spark):
     got = matches(frame(spark), "doc_id", "text").collect()
-    assert all(0.79 <= r["containment"] <= 1.0 + 1e-9 and 0 < r["coverage"] <= 1.0 + 1e-9 for r in got)
+    assert all(0.79 <= r["containment"] <= 1.0 + 1e-9 and 0 <= r["coverage"] <= 1.0 + 1e-9 for r in got)
 
 
 def test_filler_that_holds_a_third_of_the_corpus_is_found(spark):
@@ -50,3 +53,28 @@ def test_filler_that_holds_a_third_of_the_corpus_is_found(spark):
     once = spark.createDataFrame([(2000, "The mockup has a maintenance column.")], "doc_id long, text string")
     found = {r["doc_id"] for r in residue_documents(filler.unionByName(notes).unionByName(once), "doc_id", "text").collect()}
     assert found == set(range(300))
+
+
+def found_among_notes(spark, texts):
+    notes = spark.range(1000, 1400).selectExpr("id as doc_id", "concat('The scanner lists folder ', id, ' and the report names each page, so please look for errors here when the server is up. Add your notes to the text.') as text")
+    if os.path.isdir("/root/testdata/sf0.001"):
+        notes = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text")
+    mine = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in residue_documents(mine.unionByName(notes), "doc_id", "text").collect() if r["doc_id"] < 1000}
+
+
+def test_recall_and_precision_on_texts_held_out(spark):
+    n = len(S.HELD_OUT_RESIDUE)
+    found = found_among_notes(spark, S.HELD_OUT_RESIDUE + S.HELD_OUT_CONTENT)
+    right = sum(k < n for k in found)
+    assert right / n >= 0.9 and right / len(found) >= 0.9
+
+
+def test_long_placeholders(spark):
+    texts = ["{{" + "a" * 500 + "}}", "{% " + "b " * 300 + "%}", "${" + "c" * 500 + "}", "[insert " + "a short text about the project " * 20 + "]", "__" + "_".join(["LONG"] * 50) + "__", "%%" + "D" * 500 + "%%"]
+    assert found_among_notes(spark, texts) == set(range(len(texts)))
+
+
+def test_repeated_ids_with_different_texts(spark):
+    df = spark.createDataFrame([(1, "All is well."), (1, "404 Not Found"), (2, "All is well.")], "doc_id long, text string")
+    assert [r["doc_id"] for r in residue_documents(df, "doc_id", "text").collect()] == [1]
