@@ -29,28 +29,32 @@ _HARD = (
 )
 #: Notations that also have other uses, so that their words decide: fixed values.
 _SOFT = (
-    r"\[[^\[\]]++\](?![(\[:])", rf"<(?!(?:{_ELEMENTS})>)[A-Za-z][^<>/=\"]*+>", r"<!-- ?[A-Za-z][\w .-]*?-->", r"«[A-Za-z_][^«»]*+»", r"\{[A-Za-z][\w.-]*+(?: [\w.-]++)++\}", r"(?<![\w%])%[A-Z][A-Z0-9_]++%(?![\w%])", r"\b(?:TODO|todo|Todo): ?[A-Za-z]++(?: [\w-]++)?",
+    r"\[[^\[\]]++\](?![(\[]|:\s*+(?:[/#<.]|\w++://))", rf"<(?!(?:{_ELEMENTS})>)[A-Za-z][^<>/=\"]*+>", r"<!-- ?[A-Za-z][\w .-]*?-->", r"«[A-Za-z_][^«»]*+»", r"\{[A-Za-z][\w.-]*+(?: [\w.-]++)++\}", r"(?<![\w%])%[A-Z][A-Z0-9_]++%(?![\w%])", r"\b(?:TODO|todo|Todo): ?[A-Za-z]++(?: [\w-]++){0,2}+",
 )
 _SPANS = rf"(?=[{{<$#%@:\[«XxTt_*])(?:{'|'.join(_HARD + _SOFT)})"
+#: What each of the notations holds.
+_MARKS = ("{", "[", "«", "<", "$", "%", "@@", "::", "__", "*|", "XXXX", "xxxx", "TODO:", "todo:", "Todo:")
 _QUOTED = rf"[\"“”'](?:{_SPANS})[\"“”']"
 #: Start of a line that a program logged, or of a list entry that explains a code.
 _REPORTED = r"^(?:\s*[-*•] ?\d{1,3} ?[:=] |\W{0,3}(?:\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?:DEBUG|INFO|WARN|WARNING|TRACE)\b|[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d |\d{1,3}(?:\.\d{1,3}){3} - ))"
 #: Ends of sentences, but not inside brackets that close in the next one.
-_SENTENCE = r"(?<=[.!?])\s+(?![^\[\]{}<>.!?]*[\]}>])"
-_RUN = r"\b(\p{L}{3,}+(?: \p{L}++)??)(?:[ ,]+\1\b){2,}+"
+_SENTENCE = r"(?<=[.!?])[\s\x{a0}]+(?![^\[\]{}<>.!?]*[\]}>])"
+_RUN = r"\b(\p{L}{3,}+(?: \p{L}++)??)(?:[\x{a0} ,]+\1\b){2,}+"
 _NAMES = r"(?<!\p{L})\p{L}*+[\p{N}_/-][\p{L}\p{N}_/-]*+"
 _COMPOUND = r"(?<![\p{L}\p{N}_/-])\p{L}++[-_]\p{L}++(?![\p{L}\p{N}_/-])"
 _STATUS = rf"(?<![\w/.-])(?=[45]\d\d)(?:{'|'.join(map(str, STATUS_CODES))})(?![\w/-])"
-_KEY_ROWS = ("asdfghjkl", "qwertyuiop", "zxcvbnm")
+#: Letters with accents as they look after UTF-8 was read as Latin-1.
+_BROKEN = [(c, c.encode().decode("latin-1")) for c in map(chr, range(0xC0, 0x100))]
+_MASHED = r"^(?:[asdfghjkl\x{a0} ;,.]{8,}+|[qwertyuiop\x{a0} ,.]{8,}+|[zxcvbnm\x{a0} ,.]{8,}+)$"
 
-#: A window; rows that repeat a doc_id may differ, so its content is part of the key.
-_WINDOW = ["doc_id", "w", "part", "print"]
+
+def _holds(text: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks])
 
 
 def _guarded(text: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
     """Replace only where one of the literal marks occurs, which most texts fail at once."""
-    there = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks])
-    return F.when(there, F.regexp_replace(text, F.lit(pattern), F.lit(by))).otherwise(text)
+    return F.when(_holds(text, marks), F.regexp_replace(text, F.lit(pattern), F.lit(by))).otherwise(text)
 
 
 def _none() -> Column:
@@ -75,31 +79,33 @@ def windows(documents: DataFrame, doc_id: str, text: str, vocabulary: list[str]
     its own. Names, numbers, paths and digests are no terms. Code, fenced, between backticks or in code elements, and a
     placeholder set directly in quotation marks are taken out: a text that
     quotes residue is no case. Of a line that a program logged, or a list
-    entry that explains a code, only the placeholders are windows. Compounds count where the ``vocabulary`` knows
+    entry that explains a code, only the placeholders are windows. Letters with accents
+    are mended where UTF-8 was read as Latin-1. Compounds count where the ``vocabulary`` knows
     them joined (without one, all do). Null and blank texts have no window;
     texts of any length are read whole.
     """
-    t = F.col(text)
-    t = _guarded(t, ("`",), r"(?s)```.*?(?:```|\z)|`[^`\n]*+`", " ")
-    t = _guarded(t, ("<code", "<pre"), r"(?s)<(code|pre)\b.*?</\1>", " ")
-    t = _guarded(t, ("\t", "\u00a0"), r"[\x{a0}\t]", " ")
-    lines = F.split(t, r"[\r\n\x{2028}\x{2029}]+")
-    cut = F.flatten(F.transform(lines, lambda x: F.when(x.rlike(_REPORTED), F.array(x)).otherwise(F.split(x, _SENTENCE))))
-    rows = spread(documents.select(doc_id, text)).where(F.length(F.trim(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.posexplode(cut).alias("w", "passage")).where(F.length("passage") > 1)
+    # one step per column throughout, so that none is evaluated twice
+    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))).where(F.length(F.trim("t")) > 0)
+    rows = rows.select("doc_id", _guarded(F.col("t"), ("`",), r"(?s)```.*?(?:```|\z)|`[^`\n]*+`", " ").alias("t"))
+    rows = rows.select("doc_id", _guarded(F.col("t"), ("<code", "<pre"), r"(?s)<(code|pre)\b.*?</\1>", " ").alias("t"))
+    mended = reduce(lambda t, b: F.replace(t, F.lit(b[1]), F.lit(b[0])), _BROKEN, F.col("t"))
+    rows = rows.select("doc_id", F.when(F.contains("t", F.lit("Ã")), mended).otherwise(F.col("t")).alias("t"))
+    rows = rows.select("doc_id", F.split("t", r"[\r\n\x{2028}\x{2029}]+").alias("lines"))
+    cut = F.flatten(F.transform("lines", lambda x: F.when(x.rlike(_REPORTED), F.array(x)).otherwise(F.split(x, _SENTENCE))))
+    rows = rows.select("doc_id", F.posexplode(cut).alias("w", "passage")).where(F.length("passage") > 1)
     passage = F.col("passage")
-    marked = passage.rlike(r"[{\[«]|<[A-Za-z!%<]|\$[({A-Z]|%[(%A-Z]|@@|::|__|\*\||XXXX|xxxx|(?i:todo):")
+    marked = _holds(passage, _MARKS)
     spans = F.filter(F.regexp_extract_all("passage", F.lit(f"{_QUOTED}|{_SPANS}"), F.lit(0)), lambda x: ~F.substring(x, 1, 1).isin('"', "“", "”", "'"))
     spans = F.when(marked, spans).otherwise(_none())
     rows = rows.select("doc_id", "w", "passage", spans.alias("spans"))
-    prose = F.when(marked, F.regexp_replace("passage", F.lit(_SPANS), F.lit(" "))).otherwise(passage)
-    prose = _guarded(prose, ("<", "&"), r"</?[A-Za-z][^<>]*+>|&[A-Za-z]++;", " ")
-    # one step per column, so that none is evaluated twice
+    prose = F.when(F.size("spans") > 0, F.regexp_replace("passage", F.lit(_SPANS), F.lit(" "))).otherwise(passage)
     rows = rows.select("doc_id", "w", "spans", F.when(passage.rlike(_REPORTED), F.lit("")).otherwise(F.lower(prose)).alias("prose"))
+    rows = rows.select("doc_id", "w", "spans", _guarded(F.col("prose"), ("<", "&"), r"</?[a-z][^<>]*+>|&[a-z]++;", " ").alias("prose"))
     prose = F.col("prose")
     plain = lambda text: F.array_remove(F.split(F.regexp_replace(text, F.lit(_NAMES), F.lit(" ")), r"[^\p{L}]+"), "")
     rows = rows.select("*", plain(prose).alias("plain"))
     rows = rows.select("*", F.array_distinct("plain").alias("terms"))
-    mashed = (F.length(prose) >= 8) & reduce(lambda a, b: a | b, [F.translate(prose, row + " ;,.", "") == "" for row in _KEY_ROWS])
+    mashed = prose.rlike(_MASHED)
     repeated = F.when(F.size("terms") <= F.size("plain") - 2, prose.rlike(_RUN)).otherwise(F.lit(False))
     words = F.when(mashed, F.array(F.lit(REPEAT))).when(repeated, F.concat(F.array(F.lit(REPEAT)), F.array_distinct(plain(F.regexp_replace(prose, F.lit(_RUN), F.lit(" ")))))).otherwise(F.col("terms"))
     known = lambda x: F.lit(True) if vocabulary is None else x.isin(vocabulary)
@@ -147,35 +153,38 @@ def matches(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     # at most one row per term of the catalogue
     met = {r["term"]: r["weight"] for r in counts.where(F.col("term").isin(vocabulary)).select("term", idf.alias("weight")).collect()}
     rare = max([*met.values(), 1.0])
-    index, keys = [], set()
-    for k, (kind, terms) in enumerate(catalogue):
-        total = sum(met.get(t, rare) for t in terms)
-        index += [(t, k, kind, float(total)) for t in terms]
-        left = total
+    index: dict[str, list[tuple]] = {}
+    for kind, terms in catalogue:
+        total = left = float(sum(met.get(t, rare) for t in terms))
         for t in sorted(terms, key=lambda t: (-met.get(t, rare), t)):
-            keys.add(t)
+            index.setdefault(t, []).append((kind, total, sorted(terms)))
             left -= met.get(t, rare)
             if left < CONTAINMENT * total:
                 break
     lookup = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))
+    postings = {t: es for t, es in index.items() if t in met}
     # the index's dictionary is a few hundred words, so a window is looked up where it lies and moves only if retrieved
-    dictionary = sorted(keys & met.keys())
-    retrieved = parts.where(F.exists("terms", lambda x: x.isin(dictionary)))
-    scored = split_join(retrieved.select(*_WINDOW, F.explode("terms").alias("term")), counts, ["term"]).select(*_WINDOW, F.struct("term", idf.alias("weight")).alias("t"))
-    # a window is one passage, so its terms are those of one row before
-    whole = scratch.write(scored.groupBy(*_WINDOW).agg(F.collect_set("t").alias("ts")).repartition(*_WINDOW), "scored")
-    terms = whole.select(*_WINDOW, F.inline("ts"))
-    contained = terms.join(lookup(index, "term string, exemplar int, kind string, total double"), "term").groupBy(*_WINDOW, "exemplar", "kind", "total").agg(F.sum("weight").alias("found"))
-    contained = contained.where(F.col("found") >= CONTAINMENT * F.col("total") - 1e-9).groupBy(*_WINDOW, "kind").agg(F.max(F.col("found") / F.col("total")).alias("containment"))
-    rules = lookup([(kind, rule.coverage, rule.least_terms) for kind, rule in X.KINDS.items()], "kind string, least_coverage double, least_terms int")
-    kind_terms = lookup([(t, kind) for kind, terms in kinds.items() for t in sorted(terms)], "term string, kind string")
-    covered = terms.join(kind_terms, "term").groupBy(*_WINDOW, "kind").agg(F.sum("weight").alias("covered"), F.count("*").alias("n_met"))
-    totals = whole.select(*_WINDOW, F.aggregate("ts", F.lit(0.0), lambda a, x: a + x["weight"]).alias("weight"))
+    retrieved = parts.where(F.exists("terms", lambda x: x.isin(sorted(postings))))
+    # windows of the same terms are scored once
+    prints = retrieved.groupBy("print").agg(F.first("terms").alias("terms"))
+    scored = split_join(prints.select("print", F.explode("terms").alias("term")), counts, ["term"]).select("print", F.struct("term", idf.alias("weight")).alias("t"))
+    # a print is one passage, so its terms are those of one row before
+    whole = scratch.write(scored.groupBy("print").agg(F.collect_list("t").alias("ts")), "scored")
+    by_term = lookup(list(postings.items()), "term string, es array<struct<kind:string,total:double,terms:array<string>>>")
+    found = lambda e: F.aggregate("ts", F.lit(0.0), lambda a, t: a + F.when(F.array_contains(e["terms"], t["term"]), t["weight"]).otherwise(0.0)) / e["total"]
+    hits = F.filter(F.transform("es", lambda e: F.struct(e["kind"].alias("kind"), found(e).alias("containment"))), lambda h: h["containment"] >= CONTAINMENT - 1e-9)
+    met_terms = whole.select("print", "ts", F.explode(F.transform("ts", lambda t: t["term"])).alias("term")).join(by_term, "term")
+    contained = met_terms.select("print", F.inline(hits)).groupBy("print", "kind").agg(F.max("containment").alias("containment"))
+    rules = [(kind, rule.coverage, rule.least_terms, sorted(kinds[kind])) for kind, rule in X.KINDS.items()]
+    judged = contained.join(lookup(rules, "kind string, least_coverage double, least_terms int, words array<string>"), "kind").join(whole, "print")
+    sums = lambda ts: F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["weight"])
+    judged = judged.select("*", F.filter("ts", lambda t: F.array_contains("words", t["term"])).alias("covered"))
+    judged = judged.select("print", "kind", "containment", (sums(F.col("covered")) / sums(F.col("ts"))).alias("coverage"), F.size("covered").alias("n_met"), "least_coverage", "least_terms")
+    judged = scratch.write(judged.where((F.col("coverage") >= F.col("least_coverage") - 1e-9) & (F.col("n_met") >= F.col("least_terms"))).drop("n_met", "least_coverage", "least_terms"), "judged")
     # placeholders are judged by the exemplars of placeholders, passages by the others
     fits = F.col("kind").isin("slot", "blank") == (F.col("part") > 0)
-    judged = contained.where(fits).join(covered, [*_WINDOW, "kind"]).join(rules, "kind").join(totals, _WINDOW)
-    coverage = F.col("covered") / F.col("weight")
-    return judged.where((coverage >= F.col("least_coverage") - 1e-9) & (F.col("n_met") >= F.col("least_terms"))).select("doc_id", "w", "part", "kind", "containment", coverage.alias("coverage"))
+    of_print = judged.groupBy("print").agg(F.collect_list(F.struct("kind", "containment", "coverage")).alias("kinds"))
+    return split_join(retrieved.select("doc_id", "w", "part", "print"), of_print, ["print"]).select("doc_id", "w", "part", F.inline("kinds")).where(fits)
 
 
 def residue_documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
