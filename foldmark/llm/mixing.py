@@ -15,8 +15,6 @@ from foldmark.session import Scratch
 
 #: Records of one prefix sum.
 SLICE = 20_000
-#: In a source's last, partial pass, records above this share of what is still wanted come after the others, as one of them could miss the demand by much.
-LATE_SHARE = 0.02
 #: Greatest relative change of a source's weight over the training under the default schedule.
 TILT = 0.8
 
@@ -101,15 +99,16 @@ def normal_source(source: Column) -> Column:
 
 
 def mix(records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, total: float | None = None, schedule: Schedule | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Draws (source, the record id, repeat_no, size, position in [0, 1), sorted by position) and a report of the shares reached.
+    """Draws (source, the record id, repeat_no, size, position in [0, 1), sorted by position) and a report of the shares
+    reached, beside the target and the share aimed at (the target after sources without tokens have dropped out and capped ones have given all).
 
     ``targets`` has source, target_share, max_repeats: one row per source, a
     parameter table. Sources are compared without letter case and surrounding
     blanks. Each source passes over its records in a fresh hash order per pass,
     at most max_repeats times. A record's place is the middle of its tokens in
     the source's cumulative draw; it is drawn while that lies below the demand
-    of the source, so a source misses it by half a record at most; large records come last in a partial pass. The place is turned into a
-    training position by inverting the source's integrated weight schedule.
+    of the source, so a source misses it by half a record at most, whatever the
+    sizes, and long records are as likely to be drawn as short ones. The place is turned into a training position by inverting the source's integrated weight schedule.
 
     Records of no listed source, of null source or without size are not drawn;
     targets of the same normal source add up, with the larger repeats. An empty table gives no
@@ -129,12 +128,11 @@ def mix(records: DataFrame, record_id: str, source: str, size: str, targets: Dat
     schedule = short_to_long(supplies, wanted) if schedule is None and wanted else schedule or {}
     plan = [(k, d, supplies[k].tokens, min(supplies[k].repeats, math.ceil(d / supplies[k].tokens)), -(-supplies[k].records // SLICE)) for k, d in wanted.items()]
     plans = F.broadcast(spark.createDataFrame(plan, "source string, demand double, pass_tokens long, passes int, slices int"))
-    late = (F.col("repeat_no") == F.col("passes") - 1) & (F.col("_n") > LATE_SHARE * (F.col("demand") - F.col("repeat_no") * F.col("pass_tokens")))
     drawn = rows.join(plans, "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed), "repeat_no", "_id"))
     # slices are ranges of the hash order
     part = F.least(F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("slices")), F.col("slices") - 1)
-    drawn = drawn.withColumn("slice", (part + F.when(late, F.col("slices")).otherwise(0)).cast("int"))
+    drawn = drawn.withColumn("slice", part.cast("int"))
     key = ["source", "repeat_no", "slice"]
     sums = drawn.groupBy(*key).agg(F.sum("_n").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("source", "repeat_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -151,9 +149,9 @@ def mix(records: DataFrame, record_id: str, source: str, size: str, targets: Dat
     draws = scratch.write(timed.select("source", F.col("_id").alias(record_id), "repeat_no", F.col("_n").alias(size), position.alias("position")), "draws")
 
     reached = draws.groupBy("source").agg(F.sum(size).alias("drawn"), F.count("*").alias("n_draws"), (F.max("repeat_no") + 1).alias("passes"))
-    report = spark.createDataFrame([(k, s.share, s.repeats, s.records, s.tokens, wanted.get(k, 0.0)) for k, s in sorted(supplies.items())], "source string, target_share double, max_repeats long, n_records long, available long, wanted double")
+    report = spark.createDataFrame([(k, s.share, s.repeats, s.records, s.tokens, wanted.get(k, 0.0), wanted.get(k, 0.0) / (sum(wanted.values()) or 1.0)) for k, s in sorted(supplies.items())], "source string, target_share double, max_repeats long, n_records long, available long, wanted double, aimed_share double")
     all_drawn = draws.agg(F.sum(size)).first()[0] or 1
     report = report.join(reached, "source", "left").select(
-        "source", "target_share", F.coalesce(F.col("drawn") / all_drawn, F.lit(0.0)).alias("actual_share"), F.coalesce("drawn", F.lit(0)).alias("drawn_tokens"), "wanted", F.col("available").alias("available_tokens"), "n_records", F.coalesce("n_draws", F.lit(0)).alias("n_draws"), F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeats"
+        "source", "target_share", "aimed_share", F.coalesce(F.col("drawn") / all_drawn, F.lit(0.0)).alias("actual_share"), F.coalesce("drawn", F.lit(0)).alias("drawn_tokens"), "wanted", F.col("available").alias("available_tokens"), "n_records", F.coalesce("n_draws", F.lit(0)).alias("n_draws"), F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeats"
     )
     return draws.orderBy("position", "source", record_id, "repeat_no"), report

@@ -9,7 +9,7 @@ from foldmark.functions.digests import GIT_SHA1_DIGITS, SHA256_DIGITS, usable_di
 from foldmark.functions.paths import drive_of, resolved_path
 from foldmark.llm.components import connected_groups
 from foldmark.llm.mixing import mix
-from foldmark.llm.packing import fill, pack
+from foldmark.llm.packing import fill, pack, pack_each
 from foldmark.llm.residue import matches, residue_documents
 from foldmark.llm.setjoin import SimilarSets, similar_sets
 from foldmark.llm.survivors import best_rows, fuse
@@ -111,7 +111,7 @@ def _limits(spark: SparkSession, root: str) -> dict[str, int]:
 
 
 def p6_assign(spark: SparkSession, root: str) -> DataFrame:
-    """The place of every document, or piece of one larger than the capacity, in the containers of each limit."""
+    """The place of every document, or piece of one larger than the largest capacity, in the containers of the tiers that pack_limits lists."""
     return pack(_sized(spark, root), "doc_id", "n_tokens", _limits(spark, root)).withColumnsRenamed({"item_start": "token_start", "piece_size": "n_tokens"})
 
 
@@ -120,6 +120,30 @@ def p6_fill(spark: SparkSession, root: str) -> DataFrame:
     return fill(pack(_sized(spark, root), "doc_id", "n_tokens", limits), limits)
 
 
+def p6_each_assign(spark: SparkSession, root: str) -> DataFrame:
+    """The place of every document, or piece of one larger than the capacity, in the containers of each limit by itself."""
+    return pack_each(_sized(spark, root), "doc_id", "n_tokens", _limits(spark, root)).withColumnsRenamed({"item_start": "token_start", "piece_size": "n_tokens"})
+
+
+def p6_each_fill(spark: SparkSession, root: str) -> DataFrame:
+    limits = _limits(spark, root)
+    return fill(pack_each(_sized(spark, root), "doc_id", "n_tokens", limits), limits)
+
+
+def p6_byte_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Both assignments of texts sized in bytes, which SQL can count: bytes and pieces placed, containers above their capacity, places in a container taken twice or left out between, texts split without need."""
+    limits = _limits(spark, root)
+    sized = table(spark, root, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    caps = F.broadcast(spark.createDataFrame([(k, v) for k, v in limits.items()], "limit_name string, capacity long"))
+    largest = F.lit(max(limits.values()))
+    out = []
+    for name, placed, split_at in (("tiers", pack(sized, "doc_id", "n", limits), largest), ("each", pack_each(sized, "doc_id", "n", limits), F.col("capacity"))):
+        # packed without holes, the pieces of a container end where the next begins
+        one = placed.join(caps, "limit_name").groupBy("limit_name", "capacity", "container_id").agg(F.sum("piece_size").alias("s"), F.count("*").alias("k"), F.max(F.col("container_offset") + F.col("piece_size")).alias("end"), F.count_if((F.col("piece") > 0) & (F.col("item_start") % split_at != 0)).alias("odd"))
+        out.append(one.agg(F.lit(name).alias("form"), F.sum("s").alias("n_bytes"), F.sum("k").alias("n_pieces"), F.count_if(F.col("s") > F.col("capacity")).alias("n_over"), F.count_if(F.col("end") != F.col("s")).alias("n_uneven"), F.sum("odd").alias("n_split_early")))
+    return out[0].unionByName(out[1])
+
+
 def p7_draws(spark: SparkSession, root: str) -> DataFrame:
     """The drawn records with repeats, in training order."""
     return mix(_sized(spark, root), "doc_id", "source", "n_tokens", table(spark, root, "mix_targets"))[0]
@@ -130,6 +154,13 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mix(_sized(spark, root), "doc_id", "source", "n_tokens", table(spark, root, "mix_targets"))[1]
 
 
+def p7_whole_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The same where as many tokens are asked for as there are, so that scarce sources give all that their repeats allow and the others make up for it."""
+    sized = _sized(spark, root)
+    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return mix(sized, "doc_id", "source", "n_tokens", table(spark, root, "mix_targets"), float(total))[1]
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return residue_documents(table(spark, root, "documents"), "doc_id", "text")
 
@@ -145,7 +176,7 @@ def p8_passages(spark: SparkSession, root: str) -> DataFrame:
     return matches(table(spark, root, "documents"), "doc_id", "text").withColumnsRenamed({"w": "passage"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_fused, p5_found, p6_assign, p6_fill, p7_draws, p7_shares, p8_found, p8_kept, p8_passages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_fused, p5_found, p6_assign, p6_fill, p6_each_assign, p6_each_fill, p6_byte_checks, p7_draws, p7_shares, p7_whole_shares, p8_found, p8_kept, p8_passages)}
 
 _P4 = f"""
 rows AS (
@@ -179,6 +210,10 @@ similar_pairs AS (
 SQL = {
     "p2_found": f"WITH {_P2} SELECT key1, key2 FROM similar_pairs",
     "p4_found": f"WITH {_P4} SELECT group_id, field_name, row_id FROM usable QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY mtime DESC NULLS LAST, scanned_at DESC NULLS LAST, row_id DESC) = 1",
+    "p6_byte_checks": """
+WITH s AS (SELECT strlen(text) AS n FROM documents WHERE text <> ''), c AS (SELECT max(capacity_tokens) AS c FROM pack_limits)
+SELECT 'tiers' AS form, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum((n + c - 1) // c) AS BIGINT) AS n_pieces, 0 AS n_over, 0 AS n_uneven, 0 AS n_split_early FROM s, c
+UNION ALL SELECT 'each', CAST(sum(n) AS BIGINT), CAST(sum((n + capacity_tokens - 1) // capacity_tokens) AS BIGINT), 0, 0, 0 FROM s, pack_limits""",
     "p5_found": """
 WITH RECURSIVE links AS (
   SELECT dir1_id AS a, dir2_id AS b FROM dir_pairs WHERE is_exact_duplicate = 1 AND dir1_id <> dir2_id
