@@ -68,13 +68,18 @@ def p2_classes(spark: SparkSession, root: str) -> DataFrame:
     return split_join(found.members, ends, ["class"], "left").select(_set_key("set").alias("key"), _set_key("class").alias("class_key"), "size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def place_key(place) -> list:
+    """Two 64-bit fingerprints of a path. The constant comes first in the second, as a hash that goes on from the first's result would be a function of it."""
+    return [F.xxhash64(place).alias("p1"), F.xxhash64(F.lit(1), place).alias("p2")]
+
+
 def _recorded(spark: SparkSession, root: str) -> DataFrame:
     """Rows of files with their path's 128-bit fingerprint and the usable form of each field, null where useless."""
     files = table(spark, root, "files").select("id", "scan_id", "sha256", "drive", "mtime", "scanned_at", resolved_path(F.col("abs_path")).alias("place"))
     usable_mtime = F.when((F.col("mtime") >= LEAST_MTIME) & (F.col("mtime") <= F.col("scanned_at")), F.col("mtime"))
     usable_drive = F.when(F.lower("drive") == drive_of(F.col("place")), F.lower("drive"))
     return files.select(
-        "id", "scan_id", "scanned_at", F.xxhash64("place").alias("p1"), F.xxhash64("place", F.lit(1)).alias("p2"), F.col("place").isNotNull().alias("placed"),
+        "id", "scan_id", "scanned_at", *place_key(F.col("place")), F.col("place").isNotNull().alias("placed"),
         usable_digest(F.col("sha256"), SHA256_DIGITS).alias("sha256"), usable_mtime.alias("mtime"), usable_drive.alias("drive"),
     ).where("placed")
 
