@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Files of one directory that are digested as a block of the tree hash.
-TREE_BLOCK = 100_000
+from foldmark.operators.skew import split_join
+
+#: Directories of more files than this are hashed by a stream of their sorted lines, with the same result.
+TREE_FILES = 100_000
 
 
-def tree_hash(rel_path: Column, digest: Column) -> Column:
-    """SHA-256 of the sorted lines ``rel|digest`` with a line end each. As one aggregate, for groups of bounded size."""
-    line = F.concat(rel_path, F.lit("|"), digest, F.lit("\n"))
+def tree_hash(line: Column) -> Column:
+    """SHA-256 of the sorted lines. As one aggregate, for groups of bounded size."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256)
 
 
@@ -21,23 +26,36 @@ def directory_totals(members: DataFrame) -> DataFrame:
 
 
 def directory_hashes(members: DataFrame) -> DataFrame:
-    """dir_id and tree_hash of members (dir_id, rel_path, digest); rows without a digest are left out.
+    """dir_id and tree_hash of members (dir_id, rel_path, digest): the SHA-256 of the sorted lines ``rel|digest`` with a line end each. Rows without a digest are left out.
 
-    Exact for directories of up to TREE_BLOCK files. Larger ones are hashed in
-    blocks cut by a hash of the relative path, and the tree hash is that of the
-    sorted block hashes, so no task collects an unbounded directory; equal
-    trees still have equal hashes.
+    Directories of up to TREE_FILES files are collected and hashed by an
+    aggregate. The lines of larger ones are sorted, spilling to disk as they
+    need, and pass through a running digest, so no task holds an unbounded
+    directory; the hash is the same either way.
     """
-    rows = members.where("rel_path is not null and digest is not null").select("dir_id", "rel_path", "digest")
-    sizes = rows.groupBy("dir_id").agg(F.count("*").alias("n")).where(F.col("n") > TREE_BLOCK)
-    big = [(r["dir_id"], -(-r["n"] // TREE_BLOCK)) for r in sizes.limit(100_000).collect()]
-    if not big:
-        return rows.groupBy("dir_id").agg(tree_hash(F.col("rel_path"), F.col("digest")).alias("tree_hash"))
-    blocks = F.broadcast(rows.sparkSession.createDataFrame(big, "dir_id long, blocks long"))
-    cut = rows.join(blocks, "dir_id", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("rel_path"), "blocks"), F.lit(0)))
-    part = cut.groupBy("dir_id", "block").agg(tree_hash(F.col("rel_path"), F.col("digest")).alias("h"), F.max("blocks").alias("blocks"))
-    whole = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256)
-    return part.groupBy("dir_id").agg(F.when(F.max("blocks").isNull(), F.max("h")).otherwise(whole).alias("tree_hash"))
+    rows = members.where("rel_path is not null and digest is not null").select("dir_id", F.concat("rel_path", F.lit("|"), "digest", F.lit("\n")).alias("line"))
+    large = rows.groupBy("dir_id").agg(F.count("*").alias("n")).where(F.col("n") > TREE_FILES).select("dir_id")
+    if large.isEmpty():
+        return rows.groupBy("dir_id").agg(tree_hash(F.col("line")).alias("tree_hash"))
+    small = split_join(rows, large, ["dir_id"], "left_anti").groupBy("dir_id").agg(tree_hash(F.col("line")).alias("tree_hash"))
+    kind = rows.schema["dir_id"].dataType.simpleString()
+    streamed = split_join(rows, large, ["dir_id"], "left_semi").repartition("dir_id").sortWithinPartitions("dir_id", "line").mapInPandas(_running_hashes, f"dir_id {kind}, tree_hash string")
+    return small.unionByName(streamed)
+
+
+def _running_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current, digest = None, None
+    for batch in batches:
+        done = []
+        for dir_id, lines in batch.groupby("dir_id", sort=False)["line"]:
+            if digest is None or dir_id != current:
+                if digest is not None:
+                    done.append((current, digest.hexdigest()))
+                current, digest = dir_id, hashlib.sha256()
+            digest.update("".join(lines).encode())
+        yield pd.DataFrame(done, columns=["dir_id", "tree_hash"])
+    if digest is not None:
+        yield pd.DataFrame([(current, digest.hexdigest())], columns=["dir_id", "tree_hash"])
 
 
 def equal_groups(directories: DataFrame, dir_id: str, key: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1 / 1000
 #: Counters of the frequent-items sketch; its count error is below 5 / TRACKED of the rows.
 TRACKED = 16_384
-#: Up to so many rows a lookup table is broadcast; beyond, the join shuffles and splits heavy keys.
-BROADCAST_ROWS = 100_000
+#: Up to so many rows and bytes a lookup table is broadcast; beyond, the join shuffles and splits heavy keys.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def heavy_values(df: DataFrame, key: Column, share: float = HEAVY_SHARE) -> tuple[list, int]:
@@ -31,9 +31,8 @@ def heavy_values(df: DataFrame, key: Column, share: float = HEAVY_SHARE) -> tupl
 def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", residual: Column | None = None, share: float = HEAVY_SHARE, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a right side that holds each key once, whatever the skew of the left.
 
-    A right side of at most ``most`` rows is broadcast (less than BROADCAST_ROWS
-    for wide rows). Otherwise the
-    heavy left keys are found by sketch; their right rows, at most one per
+    A right side of at most ``most`` rows and BROADCAST_BYTES is broadcast.
+    Otherwise the heavy left keys are found by sketch; their right rows, at most one per
     heavy key, are broadcast to them, all other rows meet in an ordinary
     shuffle join, and the two results are united. ``how`` is inner, left,
     left_semi or left_anti. Null keys match nothing. ``residual`` may refer to
@@ -46,7 +45,7 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     for k, n in zip(on, keys):
         condition = (F.col(k) == F.col(n)) & condition
     join = lambda a, b: a.join(b, condition, how).drop(*keys)
-    if right.limit(most + 1).count() <= most:
+    if _fits(right, most):
         return join(left, F.broadcast(right))
     mark = lambda names: F.xxhash64(*names)
     known = left.where(F.expr(" and ".join(f"`{k}` is not null" for k in on)))
@@ -57,6 +56,14 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return light.unionByName(join(left.where(mark(on).isin(heavy)), F.broadcast(right.where(mark(keys).isin(heavy)))))
 
 
+def _fits(df: DataFrame, most: int) -> bool:
+    """Whether df has at most so many rows and BROADCAST_BYTES, by the values of its first ``most`` rows."""
+    wide = lambda f: F.octet_length(F.col(f.name)) if f.dataType.simpleString() in ("string", "binary") else F.octet_length(F.to_json(F.struct(f.name))) if f.dataType.simpleString().startswith(("array", "struct", "map")) else F.lit(8)
+    size = sum((F.coalesce(wide(f), F.lit(8)) for f in df.schema.fields), F.lit(16))
+    n, held = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return n <= most and held <= BROADCAST_BYTES
+
+
 def profile_keys(df: DataFrame, key: str, size: str, holder: str, share: float = HEAVY_SHARE) -> DataFrame:
     """Rows, total size and number of distinct holders of each key, without a task that follows a hot key.
 

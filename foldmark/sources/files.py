@@ -119,8 +119,8 @@ def scan_files(spark: SparkSession, root: str, exclude: Sequence[str] = (), prev
 
 
 def estimated_count(files: DataFrame) -> DataFrame:
-    """One row: the number of files, at most ESTIMATE_CAP; counting stops there."""
-    return files.limit(ESTIMATE_CAP).agg(F.count("*").alias("n_files"))
+    """One row: the number of files, and whether counting stopped at ESTIMATE_CAP, so that there may be more."""
+    return files.limit(ESTIMATE_CAP).agg(F.count("*").alias("n_files"), (F.count("*") >= ESTIMATE_CAP).alias("capped"))
 
 
 def directories_of(files: DataFrame, root: str, scan_id: str = "scan", scanned_at: float = 0.0) -> DataFrame:
@@ -132,8 +132,7 @@ def directories_of(files: DataFrame, root: str, scan_id: str = "scan", scanned_a
     below = explode_ancestors(files.select("abs_path", "sha256", "size_bytes", "mtime"), "abs_path", root)
     members = below.select(F.col("ancestor").alias("dir_id"), F.substr("abs_path", F.length("ancestor") + 2).alias("rel_path"), F.col("sha256").alias("digest"), "size_bytes", "mtime")
     sums = rollup.directory_totals(members)
-    line = rollup.tree_hash(F.col("rel_path"), F.col("digest"))
-    hashes = members.where("digest is not null").groupBy("dir_id").agg(line.alias("tree_hash"))
+    hashes = rollup.directory_hashes(members)
     p = F.col("dir_id")
     depth = (paths.depth_of(p) - (0 if root == "/" else root.count("/"))).cast("long")
     return sums.join(hashes, "dir_id", "left").select(

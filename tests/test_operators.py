@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foldmark.operators import containment, matching, merge, rollup, similarity, skew
+from foldmark.operators import containment, matching, merge, rollup, sets, similarity, skew
 from foldmark.operators.layout import spread
 from foldmark.operators.references import lifetimes, month_of, orphan_references
 
@@ -130,9 +130,12 @@ def test_roll_up(spark, rows, monkeypatch):
     assert rows(rollup.directory_totals(members)) == [(1, 2, 5, 3.0), (2, 2, 8, 2.0), (3, 1, 1, 1.0)]
     whole = hashlib.sha256(b"a|d2\nb|d1\n").hexdigest()
     assert rows(rollup.directory_hashes(members)) == [(1, whole), (2, whole)]
-    monkeypatch.setattr(rollup, "TREE_BLOCK", 1)
-    blocked = dict(rows(rollup.directory_hashes(members)))
-    assert blocked[1] == blocked[2] and set(blocked) == {1, 2}
+    monkeypatch.setattr(rollup, "TREE_FILES", 1)
+    assert rows(rollup.directory_hashes(members)) == [(1, whole), (2, whole)]
+    many = [(k % 3, f"f{k:05d}", f"d{k}") for k in range(30_000)]
+    monkeypatch.setattr(rollup, "TREE_FILES", 9_000)
+    want = [(d, hashlib.sha256("".join(f"{f}|{x}\n" for e, f, x in many if e == d).encode()).hexdigest()) for d in range(3)]
+    assert rows(rollup.directory_hashes(spark.createDataFrame(many, "dir_id long, rel_path string, digest string"))) == want
     dirs = spark.createDataFrame([(5, "h"), (3, "h"), (4, "h"), (6, ""), (7, ""), (8, None), (9, "one")], "id long, tree string")
     assert rows(rollup.equal_groups(dirs, "id", "tree")) == [(3, 3, 3), (4, 3, 3), (5, 3, 3)]
     assert rows(rollup.equal_pairs(dirs, "id", "tree")) == [(3, 4), (3, 5), (4, 5)]
@@ -148,7 +151,10 @@ def frame(spark, sets):
 
 
 @pytest.mark.parametrize("threshold", [0.1, 0.5, 1.0])
-def test_similarity_joins_equal_brute_force(spark, rows, threshold):
+@pytest.mark.parametrize("slice_, chunk", [(2000, 4096), (3, 4)])
+def test_similarity_joins_equal_brute_force(spark, rows, monkeypatch, threshold, slice_, chunk):
+    monkeypatch.setattr(sets, "LIST_SLICE", slice_)
+    monkeypatch.setattr(sets, "CHUNK", chunk)
     one, two = random_sets(1, 25), random_sets(2, 20)
     a, b = similarity.distinct_members(frame(spark, one), "s", "x"), similarity.distinct_members(frame(spark, two), "s", "x")
     like = lambda x, y: len(x & y) / len(x | y) >= threshold
@@ -205,6 +211,7 @@ def test_merges(spark, rows):
     assert rows(merge.prefer_first([new, old], ["k"]))[:2] == [("a", 1, "x"), ("b", 20, None)]
     assert rows(merge.mark_rows(old, spark.createDataFrame([("b",)], "i string"), "k", "w", F.lit("done"))) == [("a", 1, "x"), ("b", 2, "done")]
     assert rows(merge.latest_per_key(twice, ["k"], [F.col("v")])) == [("b", 20, None), ("c", 3, "first"), (None, 40, "n")]
+    assert rows(merge.latest_per_key(twice, ["k"], [F.col("v")], 2)) == rows(twice) and rows(merge.latest_per_key(old.unionByName(new), ["w"], [F.col("v")], 2, 2)) == rows(old.unionByName(new))
     ids = merge.stable_ids(old, ["k"])
     assert rows(ids) == rows(merge.stable_ids(old, ["k"])) and ids.select("row_key").distinct().count() == 2
 

@@ -14,16 +14,20 @@ FILES = {"/r/p/src/a": "A", "/r/p/src/in/b": "B", "/r/p/src/in/c": "C", "/r/p/do
 REPOS = [(1, "src", "YZ"), (2, "SRC-", "AYZVW"), (3, "in", "BCX"), (4, "far", "ABC"), (5, "p", "STUV"), (6, "none", "")]
 
 
+def sha(name, digits):
+    return f"{ord(name):0{digits}x}"
+
+
 @pytest.fixture(scope="module")
 def root(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tree"))
-    files = [(k, p, d, f"g{d}", 1, 1.0, 1.0) for k, (p, d) in enumerate(FILES.items())]
+    files = [(k, p, sha(d, 64), sha(d, 40), 1, 1.0, 1.0) for k, (p, d) in enumerate(FILES.items())]
     spark.createDataFrame(files, "id long, abs_path string, sha256 string, git_sha1 string, size_bytes long, mtime double, scanned_at double").write.parquet(f"{at}/files.parquet")
     dirs = [(i, p, p.rsplit("/", 1)[1], depth, n) for i, p, depth, n in DIRS]
     spark.createDataFrame(dirs, "id long, abs_path string, name string, depth long, file_count long").write.parquet(f"{at}/directories.parquet")
     repos = [(i, n, 1.0) for i, n, _ in REPOS]
     spark.createDataFrame(repos, "id long, name string, fetched_at double").write.parquet(f"{at}/github_repos.parquet")
-    held = [(i, p, f"g{p}") for i, _, names in REPOS for p in names]
+    held = [(i, p, sha(p, 40)) for i, _, names in REPOS for p in names]
     spark.createDataFrame(held, "repo_id long, path string, git_sha1 string").write.parquet(f"{at}/github_files.parquet")
     return at
 
@@ -39,13 +43,19 @@ def pairs(threshold):
     return {k: round(v, 9) for k, v in score.items() if v >= threshold}
 
 
-@pytest.mark.parametrize("query, threshold", [(overlap.near_dirs_whole, 0.5), (overlap.near_dirs_low_whole, 0.1)])
+@pytest.mark.parametrize("query, threshold", [(overlap.near_dirs, 0.5), (overlap.near_dirs_low, 0.1)])
 def test_directories_of_every_compared_depth_meet_their_like(spark, root, query, threshold):
-    got = {(r["a"], r["b"]): round(r["similarity"], 9) for r in query(spark, root).collect()}
-    assert got == pairs(threshold)
+    got = {(r["a"], r["b"]): round(r["similarity"], 6) for r in query(spark, root).collect()}
+    assert got == {k: round(v, 6) for k, v in pairs(threshold).items()}
     assert (4, 5) in got
 
 
+def test_classes_count_their_links(spark, root):
+    ends = [x for pair in pairs(0.5) for x in pair]
+    got = {r["dir_id"]: (r["class_id"], r["n_links"]) for r in overlap.near_dir_classes(spark, root).collect()}
+    assert got == {i: (i, ends.count(i)) for i, p, depth, n in DIRS if depth <= 2 and n >= 2}
+
+
 def matched(alike):
     """Pairs of a directory and a repository, by content or by name only."""
     flat = lambda s: s.lower().replace("-", "_").replace(" ", "_")
@@ -58,16 +68,16 @@ def matched(alike):
             content = len(one & two) / len(one | two)
             named = SequenceMatcher(None, flat(p.rsplit("/", 1)[1]), flat(name)).ratio() >= 0.8
             if named and content < 0.15 if alike else content >= 0.15:
-                out[i, j] = (round(content, 9), len(one - two), len(two - one))
+                out[i, j] = (round(content, 6), len(one - two), len(two - one))
     return out
 
 
 def test_directories_of_any_depth_match_repositories(spark, root):
-    got = {(r["a"], r["b"]): (round(r["content"], 9), r["local_ahead"], r["remote_ahead"]) for r in overlap.content_matches_whole(spark, root).collect()}
+    got = {(r["a"], r["b"]): (round(r["content"], 6), r["local_ahead"], r["remote_ahead"]) for r in overlap.content_matches(spark, root).collect()}
     assert got == matched(False) and (4, 4) in got
 
 
 def test_alike_names_without_content_are_name_only(spark, root):
     rows = overlap.name_only_matches(spark, root).collect()
-    got = {(r["a"], r["b"]): (round(r["content"], 9), r["local_ahead"], r["remote_ahead"]) for r in rows}
+    got = {(r["a"], r["b"]): (round(r["content"], 6), r["local_ahead"], r["remote_ahead"]) for r in rows}
     assert got == matched(True) and {(4, 1), (4, 2)} <= set(got) and {r["graded"] for r in rows} == {"name_only"}
