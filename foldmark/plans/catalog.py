@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldmark.plans import overlap, relational, scalars, training
+from foldmark.plans import ingest, overlap, relational, scalars, training
 
-MODULES = (scalars, relational, overlap, training)
+MODULES = (scalars, relational, overlap, ingest, training)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmark.functions import scalars
+from foldmark.functions.digests import GIT_SHA1_DIGITS, SHA256_DIGITS, usable_digest
+from foldmark.functions.paths import resolved_path
 from foldmark.operators import merge
 from foldmark.operators.skew import split_join
 from foldmark.plans.scalars import CODE_SUFFIXES
 from foldmark.plans.tables import table
+from foldmark.plans.training import digest_sql, resolved_sql
 
 #: Labels of match classes in reports: fixed values.
 CLASS_LABELS = {"exact": "Exact", "local_is_ahead": "Local Ahead", "github_is_ahead": "GitHub Ahead", "diverged": "Diverged", "partial_match": "Partial", "name_only": "Name Only"}
@@ -72,8 +75,8 @@ def dirs_with_code(spark: SparkSession, root: str) -> DataFrame:
     """JN7, JN8, JN11, FLT9: directories with a code file anywhere below, all in one join."""
     from foldmark.operators.containment import members_below
 
-    code = table(spark, root, "files").where(F.lower("extension").isin(*CODE_SUFFIXES))
-    return members_below(table(spark, root, "directories"), code, "id", "abs_path", "abs_path", []).select("dir_id").distinct()
+    code = table(spark, root, "files").where(F.lower("extension").isin(*CODE_SUFFIXES)).select(resolved_path(F.col("abs_path")).alias("place"))
+    return members_below(table(spark, root, "directories"), code, "id", "abs_path", "place", []).select("dir_id").distinct()
 
 
 def tree_rows_of_repos(spark: SparkSession, root: str) -> DataFrame:
@@ -83,8 +86,8 @@ def tree_rows_of_repos(spark: SparkSession, root: str) -> DataFrame:
 
 
 def unfetched_repos(spark: SparkSession, root: str) -> DataFrame:
-    """JN21: repositories without a tree."""
-    have = table(spark, root, "github_files").select(F.col("repo_id").alias("id")).dropna().distinct()
+    """JN21: repositories without a tree that holds a text file."""
+    have = table(spark, root, "github_files").where(F.lower("path").endswith(".md")).select(F.col("repo_id").alias("id")).dropna().distinct()
     return split_join(table(spark, root, "github_repos").select("id", "full_name"), have, ["id"], "left_anti")
 
 
@@ -138,8 +141,8 @@ def bytes_by_suffix(spark: SparkSession, root: str) -> DataFrame:
 
 
 def digests_in_many_drives(spark: SparkSession, root: str) -> DataFrame:
-    """AGG3, AGG10: contents of two or more rows."""
-    f = table(spark, root, "files").where("sha256 is not null and sha256 <> ''")
+    """AGG3, AGG10: contents of two or more rows, digests in their compared form."""
+    f = table(spark, root, "files").select(usable_digest(F.col("sha256"), SHA256_DIGITS).alias("sha256"), "drive").where("sha256 is not null")
     return f.groupBy("sha256").agg(F.count("*").alias("n"), F.countDistinct("drive").alias("n_drives")).where("n >= 2")
 
 
@@ -170,16 +173,16 @@ def drives_in_order(spark: SparkSession, root: str) -> DataFrame:
 
 
 def repo_names_anywhere(spark: SparkSession, root: str) -> DataFrame:
-    """SET1, SET3: names of repositories and project folders, each once with the side it was first found on."""
+    """SET1, SET3: names of repositories and directories, each once with the side it was first found on."""
     r = table(spark, root, "github_repos").select("name", F.lit("repo").alias("side"))
-    d = table(spark, root, "directories").where("depth = 1").select("name", F.lit("dir").alias("side"))
+    d = table(spark, root, "directories").select("name", F.lit("dir").alias("side"))
     return merge.prefer_first([r, d], ["name"]).where("name is not null")
 
 
 def shared_digests(spark: SparkSession, root: str) -> DataFrame:
     """SET2: how many different digests both sides, only one and only the other hold."""
-    one = table(spark, root, "files").where("git_sha1 is not null").select("git_sha1").distinct().withColumn("l", F.lit(1))
-    two = table(spark, root, "github_files").where("git_sha1 is not null").select("git_sha1").distinct().withColumn("r", F.lit(1))
+    digests = lambda name: table(spark, root, name).select(usable_digest(F.col("git_sha1"), GIT_SHA1_DIGITS).alias("git_sha1")).dropna().distinct()
+    one, two = digests("files").withColumn("l", F.lit(1)), digests("github_files").withColumn("r", F.lit(1))
     return one.join(two, "git_sha1", "full_outer").agg(F.count_if(F.expr("l = 1 and r = 1")).alias("common"), F.count_if(F.expr("r is null")).alias("only_local"), F.count_if(F.expr("l is null")).alias("only_remote"))
 
 
@@ -189,12 +192,18 @@ def latest_file_rows(spark: SparkSession, root: str) -> DataFrame:
     return merge.keep_one(f, ["abs_path"], [-F.col("scanned_at"), -F.col("id")]).select("abs_path", "id")
 
 
+def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id up to half of the largest, and the others; none of an empty table. The bound is a scalar subquery, read when the plan runs."""
+    half = rows.agg(F.expr("max(id) div 2")).scalar()
+    return rows.where(F.col("id") <= half), rows.where(F.col("id") > half)
+
+
 def _scans(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Rows of files as known before some moment (ids up to the median) and as found after it, one per path."""
     f = table(spark, root, "files").select("abs_path", "id", "scan_id", "drive", "sha256", "size_bytes", "mtime", "scanned_at")
-    half = F.lit(table(spark, root, "files").agg(F.max("id")).first()[0] // 2)
+    early, late = _halves(f)
     order = [-F.col("scanned_at"), -F.col("id")]
-    return merge.keep_one(f.where(F.col("id") <= half), ["abs_path"], order), merge.keep_one(f.where(F.col("id") > half), ["abs_path"], order)
+    return merge.keep_one(early, ["abs_path"], order), merge.keep_one(late, ["abs_path"], order)
 
 
 #: Columns that a new scan of a known path does not change.
@@ -222,8 +231,8 @@ def files_to_hash(spark: SparkSession, root: str) -> DataFrame:
 def trees_replaced(spark: SparkSession, root: str) -> DataFrame:
     """SNK7: new trees replace the old rows of their repositories."""
     g = table(spark, root, "github_files").where("repo_id is not null").select("id", "repo_id", "path")
-    half = F.lit(g.agg(F.max("id")).first()[0] // 2)
-    return merge.replace_groups(g.where(F.col("id") <= half), g.where(F.col("id") > half), "repo_id")
+    old, new = _halves(g)
+    return merge.replace_groups(old, new, "repo_id")
 
 
 def scans_marked(spark: SparkSession, root: str) -> DataFrame:
@@ -265,9 +274,12 @@ LEFT JOIN (SELECT dir1_id AS side FROM dir_pairs WHERE is_exact_duplicate = 1 UN
 WHERE d.id NOT IN (SELECT local_dir_id FROM local_github_matches WHERE content_similarity >= 0.15 AND local_dir_id IS NOT NULL) GROUP BY d.id, d.abs_path""",
     "never_matched_dirs": "SELECT id FROM directories WHERE id NOT IN (SELECT local_dir_id FROM local_github_matches WHERE local_dir_id IS NOT NULL)",
     "scans_of_roots": "SELECT s.scan_id, s.root_path, d.id AS dir_id FROM scan_meta s LEFT JOIN directories d ON d.abs_path = s.root_path",
-    "dirs_with_code": f"SELECT id AS dir_id FROM directories d WHERE EXISTS (SELECT 1 FROM files f WHERE lower(f.extension) IN ({_code}) AND starts_with(f.abs_path, d.abs_path || '/'))",
+    "dirs_with_code": f"""
+WITH c AS (SELECT DISTINCT {resolved_sql('abs_path')} AS p FROM files WHERE lower(extension) IN ({_code})),
+up AS (SELECT DISTINCT array_to_string(string_split(p, '/')[1:u.k], '/') AS up FROM c, unnest(range(1, len(string_split(p, '/')))) AS u(k))
+SELECT DISTINCT id AS dir_id FROM directories JOIN up ON up = abs_path""",
     "tree_rows_of_repos": "SELECT f.id, f.repo_id, r.full_name FROM github_files f JOIN github_repos r ON r.id = f.repo_id",
-    "unfetched_repos": "SELECT id, full_name FROM github_repos r WHERE NOT EXISTS (SELECT 1 FROM github_files f WHERE f.repo_id = r.id)",
+    "unfetched_repos": "SELECT id, full_name FROM github_repos r WHERE NOT EXISTS (SELECT 1 FROM github_files f WHERE f.repo_id = r.id AND ends_with(lower(f.path), '.md'))",
     "status_counts": """
 SELECT 'files' AS metric, count(*) AS n FROM files UNION ALL SELECT 'files_without_digest', count(*) FROM files WHERE sha256 IS NULL OR sha256 = '' UNION ALL SELECT 'directories', count(*) FROM directories
 UNION ALL SELECT 'exact_pairs', count(*) FROM dir_pairs WHERE is_exact_duplicate = 1 UNION ALL SELECT 'near_pairs', count(*) FROM dir_pairs WHERE is_exact_duplicate = 0 AND content_similarity >= 0.5
@@ -282,15 +294,16 @@ SELECT match_type, count(*) AS n FROM local_github_matches WHERE match_type IS N
 UNION ALL SELECT 'orphan', count(*) FROM directories WHERE id NOT IN (SELECT local_dir_id FROM local_github_matches WHERE local_dir_id IS NOT NULL) HAVING count(*) > 0""",
     "classes_by_flag": "SELECT match_type, strong, n, CAST(sum(n) OVER (PARTITION BY match_type) AS BIGINT) AS n_class FROM (SELECT coalesce(match_type, 'none') AS match_type, content_similarity >= 0.5 AS strong, count(*) AS n FROM local_github_matches GROUP BY ALL)",
     "bytes_by_suffix": "SELECT lower(extension) AS suffix, count(*) AS n, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS n_bytes, count(*) FILTER (size_bytes = 0) AS n_empty FROM files GROUP BY 1",
-    "digests_in_many_drives": "SELECT sha256, count(*) AS n, count(DISTINCT drive) AS n_drives FROM files WHERE sha256 IS NOT NULL AND sha256 <> '' GROUP BY sha256 HAVING count(*) >= 2",
+    "digests_in_many_drives": f"SELECT sha256, count(*) AS n, count(DISTINCT drive) AS n_drives FROM (SELECT {digest_sql('sha256', 64)} AS sha256, drive FROM files) WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) >= 2",
     "largest_duplicates": "SELECT d.id AS dir_id, d.abs_path AS dir_abs_path, d.total_size_bytes AS dir_total_size_bytes FROM directories d WHERE d.id IN (SELECT dir2_id FROM dir_pairs WHERE is_exact_duplicate = 1) ORDER BY d.total_size_bytes DESC NULLS LAST, d.abs_path LIMIT 10",
     "top_pairs": "SELECT id, content_similarity FROM dir_pairs WHERE is_exact_duplicate = 0 AND content_similarity IS NOT NULL ORDER BY content_similarity DESC, id LIMIT 20",
     "table_page": "SELECT id, full_name FROM github_repos ORDER BY full_name LIMIT 25 OFFSET 50",
     "drives_in_order": "SELECT CASE WHEN p[2] = 'mnt' THEN lower(p[3]) ELSE p[2] END AS drive, count(*) AS n_dirs FROM (SELECT string_split(abs_path, '/') AS p FROM directories) GROUP BY 1",
-    "repo_names_anywhere": "SELECT name, CASE WHEN bool_or(side = 'repo') THEN 'repo' ELSE 'dir' END AS side FROM (SELECT name, 'repo' AS side FROM github_repos UNION ALL SELECT name, 'dir' FROM directories WHERE depth = 1) WHERE name IS NOT NULL GROUP BY name",
-    "shared_digests": """
-SELECT (SELECT count(*) FROM (SELECT git_sha1 FROM files WHERE git_sha1 IS NOT NULL INTERSECT SELECT git_sha1 FROM github_files)) AS common, (SELECT count(*) FROM (SELECT git_sha1 FROM files WHERE git_sha1 IS NOT NULL EXCEPT SELECT git_sha1 FROM github_files)) AS only_local,
-  (SELECT count(*) FROM (SELECT git_sha1 FROM github_files WHERE git_sha1 IS NOT NULL EXCEPT SELECT git_sha1 FROM files)) AS only_remote""",
+    "repo_names_anywhere": "SELECT name, CASE WHEN bool_or(side = 'repo') THEN 'repo' ELSE 'dir' END AS side FROM (SELECT name, 'repo' AS side FROM github_repos UNION ALL SELECT name, 'dir' FROM directories) WHERE name IS NOT NULL GROUP BY name",
+    "shared_digests": f"""
+WITH l AS (SELECT DISTINCT {digest_sql('git_sha1', 40)} AS g FROM files), r AS (SELECT DISTINCT {digest_sql('git_sha1', 40)} AS g FROM github_files)
+SELECT count(*) FILTER (l.g IS NOT NULL AND r.g IS NOT NULL) AS common, count(*) FILTER (r.g IS NULL) AS only_local, count(*) FILTER (l.g IS NULL) AS only_remote
+FROM (SELECT g FROM l WHERE g IS NOT NULL) l FULL JOIN (SELECT g FROM r WHERE g IS NOT NULL) r ON l.g = r.g""",
     "latest_file_rows": f"SELECT abs_path, id FROM files {_ONCE}",
     "files_upserted": f"WITH {_OLD_NEW} SELECT coalesce(o.abs_path, n.abs_path) AS abs_path, coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.drive ELSE o.drive END AS drive, CASE WHEN n.id IS NULL THEN o.sha256 ELSE n.sha256 END AS sha256, CASE WHEN n.id IS NULL THEN o.scan_id ELSE n.scan_id END AS scan_id FROM old o FULL JOIN new n ON o.abs_path = n.abs_path",
     "files_ignored": f"WITH {_OLD_NEW} SELECT abs_path, id FROM old UNION ALL SELECT abs_path, id FROM new WHERE abs_path NOT IN (SELECT abs_path FROM old)",

@@ -41,14 +41,14 @@ def suffixes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def byte_sizes(spark: SparkSession, root: str) -> DataFrame:
-    """FN14, FN15, FN30."""
-    n = F.col("total_size_bytes")
-    return table(spark, root, "directories").where("total_size_bytes >= 0").select("id", scalars.format_bytes(n).alias("size_text"), scalars.thousands(n).alias("size_digits"), F.expr("total_size_bytes div 1024").alias("kib"), F.bround(n / (1 << 30), 2).alias("gib"))
+    """FN14, FN15, FN30: sizes as text; null for a size that is null or negative."""
+    n = F.when(F.col("total_size_bytes") >= 0, F.col("total_size_bytes"))
+    return table(spark, root, "directories").select("id", scalars.format_bytes(n).alias("size_text"), scalars.thousands(n).alias("size_digits"), F.floor(n / 1024).alias("kib"), F.bround(n / (1 << 30), 2).alias("gib"))
 
 
 def percentages(spark: SparkSession, root: str) -> DataFrame:
     """FN11, FN13: percentages of ratios of counts, halves to even."""
-    rows = table(spark, root, "dir_pairs").where("common_files is not null and unique_to_dir1 >= 0 and unique_to_dir2 >= 0")
+    rows = table(spark, root, "dir_pairs")
     share = scalars.ratio(F.col("common_files"), F.col("common_files") + F.col("unique_to_dir1") + F.col("unique_to_dir2"))
     return rows.select("id", scalars.percent_value(share).alias("percent"), scalars.percent_text(share).alias("percent_text"))
 
@@ -125,8 +125,8 @@ def matches_by_class(spark: SparkSession, root: str) -> DataFrame:
 
 
 def open_scans(spark: SparkSession, root: str) -> DataFrame:
-    """FLT10: a status that is known and differs."""
-    return table(spark, root, "scan_meta").where("status != 'completed'").select("id", "scan_id", "status")
+    """FLT10: a status that is known and is not done."""
+    return table(spark, root, "scan_meta").where("status != 'done'").select("id", "scan_id", "status")
 
 
 def text_files(spark: SparkSession, root: str) -> DataFrame:
@@ -163,10 +163,10 @@ SELECT id, CASE WHEN p[2] = 'mnt' AND len(p) >= 3 AND p[3] <> '' THEN lower(p[3]
 FROM (SELECT id, abs_path, string_split(abs_path, '/') AS p FROM directories)""",
     "resolved_paths": f"SELECT id, {resolved_sql('abs_path')} AS place FROM files",
     "suffixes": f"SELECT DISTINCT filename, lower(regexp_extract(filename, '^.+(\\.[^.]+)$', 1, 's')) AS suffix, {_split_suffix.format('filename')} AS split_suffix FROM files",
-    "byte_sizes": f"SELECT id, {_size_text('total_size_bytes')} AS size_text, format('{{:,}}', total_size_bytes) AS size_digits, total_size_bytes // 1024 AS kib, round_even(total_size_bytes / {1 << 30}, 2) AS gib FROM directories WHERE total_size_bytes >= 0",
+    "byte_sizes": f"SELECT id, {_size_text('total_size_bytes')} AS size_text, format('{{:,}}', total_size_bytes) AS size_digits, total_size_bytes // 1024 AS kib, round_even(total_size_bytes / {1 << 30}, 2) AS gib FROM (SELECT id, CASE WHEN total_size_bytes >= 0 THEN total_size_bytes END AS total_size_bytes FROM directories)",
     "percentages": """
 SELECT id, p AS percent, printf('%.1f', p) || '%' AS percent_text FROM (
-  SELECT id, round_even(coalesce(common_files / nullif(common_files + unique_to_dir1 + unique_to_dir2, 0), 0.0) * 100, 1) AS p FROM dir_pairs WHERE common_files IS NOT NULL AND unique_to_dir1 >= 0 AND unique_to_dir2 >= 0)""",
+  SELECT id, round_even(coalesce(common_files / nullif(common_files + unique_to_dir1 + unique_to_dir2, 0), 0.0) * 100, 1) AS p FROM dir_pairs)""",
     "content_digests": "SELECT doc_id, sha256(text) AS sha256, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS git_sha1 FROM documents WHERE text IS NOT NULL",
     "usable_digests": f"SELECT id, git_sha1 FROM (SELECT id, {digest_sql('git_sha1', 40)} AS git_sha1 FROM files) WHERE git_sha1 IS NOT NULL",
     "repo_names": f"""
@@ -179,11 +179,13 @@ SELECT id, replace(replace(replace(replace(replace(abs_path, '&', '&amp;'), '<',
   '''' || replace(abs_path, '''', '''\\''''''') || '''' AS quoted, replace('<' || abs_path, '</', '<\\/') AS embedded FROM files""",
     "json_rows": "SELECT id, CAST(json_object('scan_id', scan_id, 'total_files', total_files, 'status', status) AS VARCHAR) AS json FROM scan_meta",
     "event_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "commit_times": """
+SELECT id, CAST(floor(CASE WHEN regexp_full_match(t, '[0-9]{9,11}([.][0-9]+)?') THEN CAST(t AS DOUBLE) WHEN NOT regexp_full_match(t, '[0-9]+([.][0-9]+)?') THEN epoch(TRY_CAST(t AS TIMESTAMP)) END) AS BIGINT) AS committed FROM (SELECT id, trim(last_commit_at) AS t FROM github_repos)""",
     "dirs_to_compare": "SELECT id, abs_path, depth, file_count FROM directories WHERE file_count >= 2 AND depth <= 2",
     "fetched_repos": "SELECT id, full_name FROM github_repos WHERE fetched_at IS NOT NULL",
     "strong_pairs": "SELECT id, dir1_id, dir2_id FROM dir_pairs WHERE content_similarity >= 0.5 OR is_exact_duplicate = 1",
     "matches_by_class": "SELECT id, match_type FROM local_github_matches WHERE content_similarity >= 0.15 AND match_type IN ('exact', 'diverged', 'partial_match')",
-    "open_scans": "SELECT id, scan_id, status FROM scan_meta WHERE status <> 'completed'",
+    "open_scans": "SELECT id, scan_id, status FROM scan_meta WHERE status <> 'done'",
     "text_files": f"SELECT * FROM (SELECT id, suffix, suffix IN ({_in(CODE_SUFFIXES)}) AS is_code FROM (SELECT id, lower({_split_suffix.format('path')}) AS suffix FROM github_files)) WHERE suffix NOT IN ({_in(BINARY_SUFFIXES)})",
     "kept_files": "SELECT id FROM files WHERE len(list_filter(string_split(rel_path, '/'), lambda x: x IN ('.git', 'node_modules', '__pycache__', 'old') OR x GLOB 'lib1*' OR x GLOB '*.pyc')) = 0",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmark.functions.digests import GIT_SHA1_DIGITS, SHA256_DIGITS, usable_digest
-from foldmark.functions.paths import drive_of, resolved_path
+from foldmark.functions.paths import drive_of, parent_of, resolved_path
 from foldmark.operators.references import lifetimes, month_of, orphan_references
 from foldmark.operators.skew import keys_above, profile_keys
 from foldmark.plans.tables import table
@@ -64,12 +64,11 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_composite(spark: SparkSession, root: str) -> DataFrame:
-    """Matches whose (local_dir_id, github_repo_id), taken as one composite reference under partial match, has no pair of a known directory and a known repo with the same name part."""
-    dirs = table(spark, root, "directories").where("depth = 1").select(F.col("id").alias("local_dir_id"), F.lower("name").alias("n"))
-    repos = table(spark, root, "github_repos").select(F.col("id").alias("github_repo_id"), F.lower("name").alias("n"))
-    pairs = dirs.join(repos, "n", "full_outer").select("local_dir_id", "github_repo_id")
-    refs = table(spark, root, "local_github_matches").select("id", "local_dir_id", "github_repo_id")
-    return orphan_references(refs, pairs, ["local_dir_id", "github_repo_id"], "partial").withColumnRenamed("id", "row_id")
+    """Rows of files whose (drive, folder), taken as one composite reference under partial match, names no directory: with both known a directory of that drive and path must be there, with a null drive one of that path."""
+    place = resolved_path(F.col("abs_path"))
+    refs = table(spark, root, "files").select("id", F.lower("drive").alias("drive"), parent_of(place).alias("folder"))
+    targets = table(spark, root, "directories").select(F.lower("drive").alias("drive"), F.col("abs_path").alias("folder"))
+    return orphan_references(refs, targets, ["drive", "folder"], "partial").withColumnRenamed("id", "row_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p3_found, p3_report, p3_composite)}
@@ -127,12 +126,10 @@ SQL = {
     "p1_profile": f"WITH {_CONTENT} SELECT src_table, digest, count(*) AS n_rows, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_size, count(DISTINCT holder) AS n_holders FROM content WHERE digest IS NOT NULL GROUP BY ALL",
     "p3_found": f"WITH {_ORPHANS} SELECT * FROM orphans",
     "p3_report": f"WITH {_ORPHANS} SELECT src_table, ref_column, period, count(*) AS n_orphans FROM orphans GROUP BY ALL",
-    "p3_composite": """
-WITH pairs AS (
-  SELECT d.id AS local_dir_id, r.id AS github_repo_id
-  FROM (SELECT id, lower(name) AS n FROM directories WHERE depth = 1) d FULL JOIN (SELECT id, lower(name) AS n FROM github_repos) r ON d.n = r.n
-)
-SELECT id AS row_id, local_dir_id, github_repo_id FROM local_github_matches m
-WHERE (local_dir_id IS NOT NULL OR github_repo_id IS NOT NULL)
-  AND NOT EXISTS (SELECT 1 FROM pairs p WHERE (m.local_dir_id IS NULL OR p.local_dir_id = m.local_dir_id) AND (m.github_repo_id IS NULL OR p.github_repo_id = m.github_repo_id))""",
+    "p3_composite": f"""
+WITH r AS (SELECT id AS row_id, lower(drive) AS drive, array_to_string(string_split(p, '/')[1:len(string_split(p, '/')) - 1], '/') AS folder FROM (SELECT id, drive, {resolved_sql("abs_path")} AS p FROM files)),
+t AS (SELECT DISTINCT lower(drive) AS drive, abs_path AS folder FROM directories)
+SELECT r.* FROM r WHERE (drive IS NOT NULL OR folder IS NOT NULL)
+  AND NOT EXISTS (SELECT 1 FROM t WHERE t.folder = r.folder AND t.drive = r.drive) AND NOT (r.drive IS NULL AND EXISTS (SELECT 1 FROM t WHERE t.folder = r.folder))
+  AND NOT (r.folder IS NULL AND EXISTS (SELECT 1 FROM t WHERE t.drive = r.drive))""",
 }

@@ -19,8 +19,8 @@ def mount_entries(lines: DataFrame) -> DataFrame:
     """device, mount_point, fs_type, line_no of lines (line_no, value) with three fields or more; blanks in names are written as \\040."""
     f = F.split(F.trim("value"), r"\s+")
     rows = lines.where(F.size(f) >= 3)
-    text = lambda k: F.replace(f[k], F.lit("\\040"), F.lit(" "))
-    return rows.select("line_no", text(0).alias("device"), text(1).alias("mount_point"), f[2].alias("fs_type"))
+    text = lambda k: F.replace(F.get(f, F.lit(k)), F.lit("\\040"), F.lit(" "))
+    return rows.select("line_no", text(0).alias("device"), text(1).alias("mount_point"), F.get(f, F.lit(2)).alias("fs_type"))
 
 
 def drives(entries: DataFrame, readable: DataFrame | None = None) -> DataFrame:

@@ -23,15 +23,49 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", pa
 
 
 def swap_table(df: DataFrame, root: str, name: str) -> None:
-    """Replace a table with a plan that reads it: written beside it first, then renamed."""
+    """Replace a table with a plan that may read it: written beside it, then the live one is renamed away, the new one into its place, and only then the old one deleted. After a failure in between, ``restore_table`` brings back the old one."""
     spark = df.sparkSession
-    fresh, live = f"{root}/{name}.parquet.new", f"{root}/{name}.parquet"
+    fresh, live, old = f"{root}/{name}.parquet.new", f"{root}/{name}.parquet", f"{root}/{name}.parquet.old"
+    restore_table(spark, root, name)
     df.write.mode("overwrite").parquet(fresh)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(live).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(live), True)
+    path, fs = _files(spark, live)
+    if fs.exists(path(live)) and not fs.rename(path(live), path(old)):
+        raise OSError(f"could not move {live}")
     if not fs.rename(path(fresh), path(live)):
+        fs.rename(path(old), path(live))
         raise OSError(f"could not replace {live}")
+    fs.delete(path(old), True)
+
+
+def restore_table(spark: SparkSession, root: str, name: str) -> None:
+    """Undo a swap that was cut off: where the live table is missing the old one takes its place, otherwise what is left of the old one goes."""
+    live, old = f"{root}/{name}.parquet", f"{root}/{name}.parquet.old"
+    path, fs = _files(spark, live)
+    if fs.exists(path(old)):
+        if fs.exists(path(live)):
+            fs.delete(path(old), True)
+        else:
+            fs.rename(path(old), path(live))
+
+
+def _files(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def store_pairs(pairs: DataFrame, root: str, analyzed_at: float) -> None:
+    """Replace the dir_pairs table with pairs (dir1_id, dir2_id, content_similarity, structural_similarity, is_exact_duplicate, common_files, unique_to_dir1, unique_to_dir2), numbered by a hash of the pair. Storing twice leaves one copy."""
+    _store(pairs, root, "dir_pairs", ("dir1_id", "dir2_id"), analyzed_at)
+
+
+def store_matches(matches: DataFrame, root: str, analyzed_at: float) -> None:
+    """Replace the local_github_matches table with matches (local_dir_id, github_repo_id, content_similarity, structural_similarity, match_type, local_ahead_count, github_ahead_count)."""
+    _store(matches, root, "local_github_matches", ("local_dir_id", "github_repo_id"), analyzed_at)
+
+
+def _store(rows: DataFrame, root: str, name: str, keys: tuple[str, str], analyzed_at: float) -> None:
+    shaped = rows.withColumns({"id": F.xxhash64(*keys), "analyzed_at": F.lit(analyzed_at)})
+    swap_table(shaped.select(*[F.col(f.name).cast(f.dataType) if f.name in shaped.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema_of(name).fields]), root, name)
 
 
 def merged_store(spark: SparkSession, root: str, other: str) -> dict[str, DataFrame]:

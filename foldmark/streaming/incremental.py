@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,26 @@ def wait_for(path: str, seconds: float, poll: float = POLL_SECONDS, sleep: Calla
     return True
 
 
+def poll(triggers: Mapping[str, tuple[Callable[[], bool], Callable[[], None]]], rounds: int, poll: float = POLL_SECONDS, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Look at the conditions every ``poll`` seconds, ``rounds`` times at most, and run the action of each once, when its condition first holds. Returns the names in the order they fired; stops when all have."""
+    fired: list[str] = []
+    for k in range(rounds):
+        if k:
+            sleep(poll)
+        for name, (holds, act) in triggers.items():
+            if name not in fired and holds():
+                act()
+                fired.append(name)
+        if len(fired) == len(triggers):
+            break
+    return fired
+
+
+def when_there(path: str, run: Callable[[], object], seconds: float, **clockwork) -> object | None:
+    """Run a pipeline when a file appears; null if it does not within the time."""
+    return run() if wait_for(path, seconds, **clockwork) else None
+
+
 class CallGate:
     """Spaces calls of a service and waits for its limit to reset when few are left."""
 

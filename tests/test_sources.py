@@ -22,7 +22,7 @@ def test_scan_and_roll_up(spark, rows, tmp_path):
     os.utime(tmp_path / "top", (1, 1))
     again = files.scan_files(spark, root, ["**/.git/**"], previous=found)
     assert rows(again.select("rel_path")) == [("top",)]
-    assert files.estimated_count(found).first()[0] == 3
+    assert tuple(files.estimated_count(found).first()) == (3, False)
 
 
 def test_files_are_hashed_as_a_stream(spark, tmp_path):
@@ -75,6 +75,24 @@ def test_tables(spark, rows, tmp_path):
     assert tables.read_table(spark, one, "files").schema == schema_of("files")
 
 
+def test_swaps_can_be_cut_off(spark, tmp_path):
+    root = str(tmp_path / "s")
+    tables.swap_table(empty_table(spark, "files"), root, "files")
+    os.rename(f"{root}/files.parquet", f"{root}/files.parquet.old")
+    tables.restore_table(spark, root, "files")
+    assert tables.read_table(spark, root, "files").count() == 0 and not os.path.exists(f"{root}/files.parquet.old")
+
+
+def test_pairs_and_matches_are_stored_once(spark, rows, tmp_path):
+    root = str(tmp_path / "p")
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 1.0)], "dir1_id long, dir2_id long, content_similarity double")
+    for _ in range(2):
+        tables.store_pairs(pairs, root, 7.0)
+        tables.store_matches(pairs.selectExpr("dir1_id as local_dir_id", "dir2_id as github_repo_id", "'exact' as match_type"), root, 7.0)
+    assert rows(tables.read_table(spark, root, "dir_pairs").select("dir1_id", "dir2_id", "content_similarity", "analyzed_at")) == [(1, 2, 0.5, 7.0), (1, 3, 1.0, 7.0)]
+    assert rows(tables.read_table(spark, root, "local_github_matches").select("local_dir_id", "github_repo_id", "match_type")) == [(1, 2, "exact"), (1, 3, "exact")]
+
+
 def test_create_tables_twice(spark):
     assert create_tables(spark) == create_tables(spark) == list(SCHEMAS)
 
@@ -85,9 +103,15 @@ def test_reports(spark, tmp_path):
     assert "| a\\|b | 1   |" in text and "Nothing found." in text
     page = reports.html_report("<T>", {"S": spark.createDataFrame([("</script><b>",)], "x string")}, "now")
     assert "&lt;T&gt;" in page and "<\\/script>" in page and page.count("</script>") == 2
-    scripts = reports.copy_script_rows(spark.createDataFrame([(1, "/x/it's", "git@h:o/r", "b", "why\nnot"), (2, "/y", "", "b", "r")], "position int, folder string, remote_url string, branch string, reason string"))
+    many = spark.range(2500).selectExpr("id", "concat('row ', id) as name")
+    assert reports.markdown_report("T", {"S": many}, "now").count("| row ") == 2500
+    reports.write_report(str(tmp_path / "r" / "all.html"), "T", {"S": many, "E": df.limit(0)}, "now")
+    page = (tmp_path / "r" / "all.html").read_text()
+    embedded = json.loads(page.split('type="application/json">')[1].split("</script>")[0])
+    assert len(embedded["S"]["rows"]) == 2500 and embedded["E"] == {"columns": ["name", "n"], "rows": []}
+    scripts = reports.copy_script_rows(spark.createDataFrame([(1, 2, "push", "/x/it's", "git@h:o/r", "b", "why\nnot"), (2, 1, "push", "/y", "", "b", "r")], "position int, priority int, action string, folder string, remote_url string, branch string, reason string"))
     assert reports.write_scripts(scripts, str(tmp_path / "s")) == 1
-    assert "folder='/x/it'\\''s'" in (tmp_path / "s" / "001_it_s.sh").read_text()
+    assert "folder='/x/it'\\''s'" in (tmp_path / "s" / "001_2_push__it_s.sh").read_text()
 
 
 def test_upload_stream_copies_each_file_once(spark, rows, tmp_path):
@@ -112,12 +136,55 @@ def test_upload_stream_copies_each_file_once(spark, rows, tmp_path):
     query.stop()
 
 
+def test_a_replayed_batch_keeps_its_record(spark, rows, tmp_path):
+    source, sink, mark = str(tmp_path / "in"), str(tmp_path / "up"), str(tmp_path / "ck")
+    there = tmp_path / "there"
+    there.write_text("x")
+    made = [(1, str(there)), (2, str(there)), (3, str(tmp_path / "gone"))]
+    empty_table(spark, "files").unionByName(spark.createDataFrame(made, "id long, abs_path string"), allowMissingColumns=True).write.parquet(source)
+    copied = []
+
+    def copy(df):
+        copied.append(sorted(r["file_id"] for r in df.collect()))
+        # only one of the files arrives at first
+        return df.where("file_id = 1") if len(copied) == 1 else df
+
+    for _ in range(3):
+        query = uploads.upload_stream(uploads.scanned_files(spark, source), copy, sink, "/base", mark, once=True, present=uploads.existing_files)
+        assert uploads.drain(query, 60)
+        for name in os.listdir(f"{mark}/commits"):
+            os.remove(f"{mark}/commits/{name}")
+    assert copied == [[1, 2], [2], []]
+    assert rows(spark.read.parquet(sink).select("file_id")) == [(1,), (2,)]
+
+
+def test_progress_is_flushed(spark):
+    class Event:
+        class progress:
+            numInputRows = 60
+
+    seen = []
+    listener = uploads.Progress(seen.append, 100)
+    for _ in range(3):
+        listener.onQueryProgress(Event)
+    listener.onQueryTerminated(None)
+    assert seen == [{"batches": 2, "rows": 120}, {"batches": 3, "rows": 180}]
+
+
+def test_triggers_fire_once():
+    looks = []
+    made = lambda name, at: (name, (lambda: len(looks) >= at, lambda: looks.append(name)))
+    fired = incremental.poll(dict([made("first", 0), made("second", 1), made("never", 99)]), 5, sleep=lambda s: None)
+    assert fired == ["first", "second"] == looks
+
+
 def test_polling(tmp_path):
     now = [0.0]
     pause = lambda s: now.__setitem__(0, now[0] + s)
     clock = lambda: now[0]
     assert not incremental.wait_for(str(tmp_path / "none"), 10, sleep=pause, clock=clock) and now[0] == 10
     assert incremental.wait_for(str(tmp_path), 10, sleep=pause, clock=clock)
+    assert incremental.when_there(str(tmp_path), lambda: "ran", 1, sleep=pause, clock=clock) == "ran" and incremental.when_there(str(tmp_path / "none"), lambda: "ran", 0, sleep=pause, clock=clock) is None
     gate = incremental.CallGate(pause, clock)
     gate.before(100)
     gate.before(10, resets_at=50.0)
