@@ -15,6 +15,7 @@ from foldmark.llm.setjoin import SimilarSets, similar_sets
 from foldmark.llm.survivors import best_rows, fuse
 from foldmark.llm.tokens import token_count
 from foldmark.operators.layout import spread
+from foldmark.operators.sets import meet
 from foldmark.operators.skew import split_join
 from foldmark.session import Scratch
 from foldmark.plans.tables import table
@@ -55,8 +56,10 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Similar pairs with every set of equal content written out, as TESTDATA.md asks."""
     found = _similar(spark, root)
     one, two = [found.members.select(F.col("set").alias(f"s{k}"), F.col("class").alias(f"set{k}")) for k in (1, 2)]
-    between = found.pairs.select("set1", "set2").join(one, "set1").join(two, "set2")
-    within = one.join(two.withColumnRenamed("set2", "set1"), "set1").where("s1 < s2")
+    # a class may have many members and many pairs, so both joins cut long lists
+    anyway = F.lit(True)
+    between = meet(meet(found.pairs.select("set1", "set2"), one, ["set1"], anyway), two, ["set2"], anyway)
+    within = meet(one, two.withColumnRenamed("set2", "set1"), ["set1"], F.col("s1") < F.col("s2"))
     pairs = between.select("s1", "s2").unionByName(within.select("s1", "s2")).select(_set_key("s1").alias("a"), _set_key("s2").alias("b"))
     return pairs.select(F.least("a", "b").alias("key1"), F.greatest("a", "b").alias("key2"))
 
@@ -214,6 +217,14 @@ similar_pairs AS (
 
 SQL = {
     "p2_found": f"WITH {_P2} SELECT key1, key2 FROM similar_pairs",
+    "p2_classes": f"""
+WITH {_P2},
+contents AS (SELECT key, string_agg(digest, ',' ORDER BY digest) AS content, any_value(n) AS n FROM members JOIN sizes USING (key) GROUP BY key),
+numbered AS (SELECT *, CASE WHEN starts_with(key, 'dir:') THEN 2 * CAST(substr(key, 5) AS BIGINT) ELSE 2 * CAST(substr(key, 6) AS BIGINT) + 1 END AS s FROM contents),
+classed AS (SELECT key, n, first_value(key) OVER (PARTITION BY content ORDER BY s) AS class_key FROM numbered),
+ends AS (SELECT key1 AS class_key, key2 AS other FROM similar_pairs UNION ALL SELECT key2, key1 FROM similar_pairs),
+links AS (SELECT e.class_key, count(*) AS n_links FROM ends e JOIN classed a ON a.key = e.class_key AND a.class_key = e.class_key JOIN classed b ON b.key = e.other AND b.class_key = e.other GROUP BY e.class_key)
+SELECT c.key, c.class_key, c.n AS size, coalesce(l.n_links, 0) AS n_links FROM classed c LEFT JOIN links l USING (class_key)""",
     "p4_found": f"WITH {_P4} SELECT group_id, field_name, row_id FROM usable QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY mtime DESC NULLS LAST, scanned_at DESC NULLS LAST, row_id DESC) = 1",
     "p6_byte_checks": """
 WITH s AS (SELECT strlen(text) AS n FROM documents WHERE text <> ''), c AS (SELECT max(capacity_tokens) AS c FROM pack_limits)

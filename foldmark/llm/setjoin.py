@@ -6,19 +6,15 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from foldmark.operators.skew import BROADCAST_ROWS, split_join
+from foldmark.operators.sets import chunks, meet, overlap_counts, ranked, shared_least, with_counts
+from foldmark.operators.skew import split_join
 from foldmark.session import Scratch
 
 #: Frequencies at which prefixes may begin to ask for more shared tokens.
 LADDER = tuple(4**k for k in range(2, 16))
-#: Expected tokens of a verification chunk, and sets from twice this size on are ranked in slices.
-CHUNK = 4096
-#: Bytes of chunks that may be broadcast.
-BROADCAST_BYTES = 64 << 20
 #: A frequency that no token reaches.
 NEVER = 2**62
 
@@ -60,66 +56,29 @@ def similar_sets(members: DataFrame, set_id: str, token: str, threshold: float =
     prints = rows.groupBy("s").agg(F.count("*").cast("int").alias("n"), mix(1).alias("m1"), mix(2).alias("m2")).where(F.col("n") >= least_size)
     prints = scratch.write(prints, "prints")
     classes = prints.groupBy("n", "m1", "m2").agg(F.min("s").alias("class"))
-    member = scratch.write(prints.join(classes, ["n", "m1", "m2"]).select("s", "class", "n"), "members")
+    member = scratch.write(split_join(prints, classes, ["n", "m1", "m2"]).select("s", "class", "n"), "members")
     sizes = member.where("s = class").select("s", "n")
 
     kept = split_join(rows, sizes, ["s"])
     kept = scratch.write(kept, "kept")
     counts = scratch.write(kept.groupBy("x").agg(F.count("*").alias("df")), "counts")
-    ranked = _ranked(_with_counts(kept, counts), sizes, threshold, scratch)
-    two, three = _levels(ranked, threshold)
-    entries = scratch.write(_entries(ranked, threshold, two, three), "entries")
+    prefixes = ranked(with_counts(kept, counts), F.col("n") - shared_least(F.col("n"), threshold) + 3, scratch)
+    two, three = _levels(prefixes, threshold)
+    entries = scratch.write(_entries(prefixes, threshold, two, three), "entries")
     candidates = scratch.write(_candidates(entries, threshold), "candidates")
     pairs = _verified(candidates, kept, threshold, scratch)
     return SimilarSets(pairs, member.select(F.col("s").alias("set"), F.col("class"), F.col("n").alias("size")))
 
 
-def _with_counts(kept: DataFrame, counts: DataFrame) -> DataFrame:
-    """Every row with the frequency of its token. Tokens above a frequency that only so many can have are broadcast, the rest shuffle."""
-    total = kept.count()
-    hot = max(1000, math.ceil(total / BROADCAST_ROWS))
-    frequent = F.broadcast(counts.where(F.col("df") >= hot))
-    return kept.join(frequent, "x").unionByName(kept.join(frequent, "x", "left_anti").join(counts.where(F.col("df") < hot), "x"))
-
-
-def _shared_least(n: Column, threshold: float) -> Column:
-    """Least overlap of a set of n tokens with any similar set; the small term absorbs rounding of the product."""
-    return F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
-
-
-def _ranked(rows: DataFrame, sizes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """s, n, x, df, pos: the tokens of each set's three-token prefix with their position from 1.
-
-    Sets of ordinary size are ranked by a window. A set of 2 CHUNK tokens or
-    more is cut into slices of about CHUNK in token order, each ranked by
-    itself, and offset by the slices before it, so that no task sees it whole.
-    """
-    last = F.col("n") - _shared_least(F.col("n"), threshold) + 3
-    small = rows.where(F.col("n") < 2 * CHUNK).withColumn("pos", F.row_number().over(Window.partitionBy("s").orderBy("df", "x")))
-    parts = [small]
-    if not sizes.where(F.col("n") >= 2 * CHUNK).isEmpty():
-        # slices: by frequency, and for equal frequency by ranges of the hash
-        cut = F.floor((F.col("x").cast("double") / 2.0**64 + 0.5) * F.ceil(F.col("n") / CHUNK))
-        big = rows.where(F.col("n") >= 2 * CHUNK).withColumn("cut", cut)
-        slices = big.groupBy("s", "df", "cut").agg(F.count("*").alias("c"))
-        before = F.coalesce(F.sum("c").over(Window.partitionBy("s").orderBy("df", "cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        offsets = scratch.write(slices.select("s", "df", "cut", before.alias("before")), "offsets")
-        within = F.row_number().over(Window.partitionBy("s", "df", "cut").orderBy("x"))
-        parts.append(big.withColumn("at", within).join(offsets, ["s", "df", "cut"]).withColumn("pos", (F.col("at") + F.col("before")).cast("int")))
-    columns = ["s", "n", "x", "df", "pos"]
-    whole = reduce(DataFrame.unionByName, [p.where(F.col("pos") <= F.least(F.col("n"), last)).select(*columns) for p in parts])
-    return scratch.write(whole, "prefixes")
-
-
-def _levels(ranked: DataFrame, threshold: float) -> tuple[int, int]:
+def _levels(prefixes: DataFrame, threshold: float) -> tuple[int, int]:
     """Frequencies from which two and three shared tokens are asked for, by least estimated work.
 
     A token joined alone costs its posting list squared over two; tokens
     joined in combinations cost the combinations of each set's prefix.
     """
-    one = F.col("n") - _shared_least(F.col("n"), threshold) + 1
-    single = ranked.where(F.col("pos") <= one).groupBy("x").agg(F.max("df").alias("df"), F.count("*").alias("p")).agg(*[F.sum(F.when(F.col("df") < d, F.col("p") * F.col("p") / 2)).alias(f"a{k}") for k, d in enumerate(LADDER)], F.sum(F.col("p") * F.col("p") / 2).alias("all")).first()
-    above = ranked.groupBy("s").agg(*[F.sum(F.when(F.col("df") >= d, 1).otherwise(0)).cast("double").alias(f"k{k}") for k, d in enumerate(LADDER)])
+    one = F.col("n") - shared_least(F.col("n"), threshold) + 1
+    single = prefixes.where(F.col("pos") <= one).groupBy("x").agg(F.max("df").alias("df"), F.count("*").alias("p")).agg(*[F.sum(F.when(F.col("df") < d, F.col("p") * F.col("p") / 2)).alias(f"a{k}") for k, d in enumerate(LADDER)], F.sum(F.col("p") * F.col("p") / 2).alias("all")).first()
+    above = prefixes.groupBy("s").agg(*[F.sum(F.when(F.col("df") >= d, 1).otherwise(0)).cast("double").alias(f"k{k}") for k, d in enumerate(LADDER)])
     k = [F.col(f"k{i}") for i in range(len(LADDER))]
     combined = above.agg(*[F.sum(c * (c - 1) / 2).alias(f"b{i}") for i, c in enumerate(k)], *[F.sum(c * (c - 1) * (c - 2) / 6).alias(f"c{i}") for i, c in enumerate(k)]).first()
     costs = {(NEVER, NEVER): single["all"] or 0.0}
@@ -132,23 +91,23 @@ def _levels(ranked: DataFrame, threshold: float) -> tuple[int, int]:
     return min(costs, key=lambda at: (costs[at], -at[0], -at[1]))
 
 
-def _entries(ranked: DataFrame, threshold: float, two: int, three: int) -> DataFrame:
+def _entries(prefixes: DataFrame, threshold: float, two: int, three: int) -> DataFrame:
     """key, head (tokens that a pair meeting here shares at least), s, n, pos (of the last of them).
 
     Sets that may be similar to another with one or two shared tokens in all
     are also joined by so few.
     """
-    least = _shared_least(F.col("n"), threshold)
+    least = shared_least(F.col("n"), threshold)
     upto = lambda k: F.col("pos") <= F.col("n") - least + k
-    parts = [ranked.where(upto(1) & ((F.col("df") < two) | (least <= 1))).select(F.col("x").alias("key"), F.lit(1).alias("head"), "s", "n", "pos")]
-    frequent = ranked.where(F.col("df") >= two)
+    parts = [prefixes.where(upto(1) & ((F.col("df") < two) | (least <= 1))).select(F.col("x").alias("key"), F.lit(1).alias("head"), "s", "n", "pos")]
+    frequent = prefixes.where(F.col("df") >= two)
     later = lambda k, rows: rows.where(upto(k)).select("s", F.col("x").alias(f"x{k}"), F.col("pos").alias(f"pos{k}"))
     if two < NEVER:
         firsts = frequent.where(upto(1) & ((F.col("df") < three) | (least <= 2)))
         pairs = firsts.join(later(2, frequent), "s").where("pos2 > pos")
         parts.append(pairs.select(F.xxhash64("x", "x2").alias("key"), F.lit(2).alias("head"), "s", "n", F.col("pos2").alias("pos")))
     if three < NEVER:
-        most = ranked.where(F.col("df") >= three)
+        most = prefixes.where(F.col("df") >= three)
         triples = most.where(upto(1)).join(later(2, most), "s").where("pos2 > pos").join(later(3, most), "s").where("pos3 > pos2")
         parts.append(triples.select(F.xxhash64("x", "x2", "x3").alias("key"), F.lit(3).alias("head"), "s", "n", F.col("pos3").alias("pos")))
     return reduce(DataFrame.unionByName, parts)
@@ -158,7 +117,8 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     """a, b, na, nb: pairs that meet at an entry and whose sizes and positions allow the overlap; a is the smaller set.
 
     Sizes of similar sets differ by a factor of 1 / threshold at most, so the
-    size class is part of the join key, which also divides long posting lists.
+    size class is part of the join key, which also divides long posting lists;
+    what is still long is met in slices.
     """
     band = F.col("n") if threshold == 1 else F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)
     side = lambda c: entries.select("key", "head", F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), band.cast("int").alias("band"))
@@ -169,24 +129,13 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
         & (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9)
         & (F.col("head") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= overlap)
     )
-    return small.join(side("b"), ["key", "head", "band"]).where(fits).select("a", "b", "na", "nb").distinct()
+    return meet(small, side("b"), ["key", "head", "band"], fits).select("a", "b", "na", "nb").distinct()
 
 
 def _verified(candidates: DataFrame, kept: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Count the overlap of each candidate pair on chunks of bounded size.
-
-    A set of n tokens is cut into a power of two of chunks by hash, about CHUNK
-    tokens each. Chunk i of the finer cut meets chunk i modulo the coarser one.
-    """
-    cuts = lambda n: F.when(F.col(n) <= CHUNK, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col(n) / CHUNK))).cast("int"))
-    chunk = kept.withColumn("cut", F.pmod("x", cuts("n")).cast("int")).groupBy("s", "cut").agg(F.collect_list("x").alias("t"))
-    chunk = scratch.write(chunk, "chunks")
-    most = BROADCAST_BYTES // (16 * CHUNK)
-    meet = candidates.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(cuts("na"), cuts("nb")) - 1)))
-    meet = meet.withColumns({"ca": F.pmod("i", cuts("na")), "cb": F.pmod("i", cuts("nb"))})
-    for side in ("a", "b"):
-        meet = split_join(meet, chunk.select(F.col("s").alias(side), F.col("cut").alias(f"c{side}"), F.col("t").alias(f"t{side}")), [side, f"c{side}"], most=most)
-    shared = meet.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("ta", "tb"))).alias("shared"))
+    """Count the overlap of each candidate pair on chunks of bounded size."""
+    parts = chunks(kept, scratch)
+    shared = overlap_counts(candidates, parts, parts).withColumnRenamed("k", "shared")
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     swap = F.col("a") > F.col("b")
     one = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))

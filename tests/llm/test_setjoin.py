@@ -4,6 +4,7 @@ import random
 import pytest
 
 from foldmark.llm import setjoin
+from foldmark.operators import sets
 from foldmark.llm.setjoin import similar_sets
 
 
@@ -56,7 +57,8 @@ def test_any_choice_of_prefixes_is_lossless(spark, monkeypatch, levels):
 
 
 def test_sets_larger_than_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "CHUNK", 4)
+    monkeypatch.setattr(sets, "CHUNK", 4)
+    monkeypatch.setattr(sets, "LIST_SLICE", 3)
     check(spark, make_sets(3, 45), 0.5, 3)
 
 
