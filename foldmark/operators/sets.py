@@ -58,15 +58,24 @@ def ranked(rows: DataFrame, last: Column, scratch: Scratch, name: str = "prefixe
 
 
 def meet(left: DataFrame, right: DataFrame, on: list[str], where: Column) -> DataFrame:
-    """Inner join of two tables that both may hold a key often. Lists longer than LIST_SLICE are cut by a hash of the other columns, and every slice of one side meets every slice of the other in a task of its own."""
-    lists = [side.groupBy(*on).agg(F.count("*").alias(name)) for side, name in ((left, "_l"), (right, "_r"))]
-    cuts = lambda c: F.ceil(F.col(c) / LIST_SLICE).cast("int")
-    long_ = lists[0].join(lists[1], on).where((F.col("_l") > LIST_SLICE) | (F.col("_r") > LIST_SLICE)).select(*on, cuts("_l").alias("_lcuts"), cuts("_r").alias("_rcuts"))
+    """Inner join of two tables that both may hold a key often.
+
+    Where lists of a key are longer than LIST_SLICE they are cut by a hash of the other columns, and every
+    slice of one side meets every slice of the other in a task of its own.
+    Both sides are read more than once, so what is dear should be stored before.
+    """
+    counts = [side.groupBy(*on).agg(F.count("*").alias(name)) for side, name in ((left, "_l"), (right, "_r"))]
+    # a key is long if its lists make more pairs than two of LIST_SLICE do; there are at most as many as slices of the input
+    cuts = lambda c: F.ceil(F.col(c) / LIST_SLICE).cast("int").alias(f"{c}cuts")
+    long_ = counts[0].join(counts[1], on).where(F.col("_l") * F.col("_r") > LIST_SLICE * LIST_SLICE).select(*on, cuts("_l"), cuts("_r"))
+    long_ = Scratch(left.sparkSession, "meet").write(long_, "long")
+    if long_.isEmpty():
+        return left.join(right, on).where(where)
 
     def sliced(side: DataFrame, own: str, other: str) -> DataFrame:
         rest = F.xxhash64(*[c for c in side.columns if c not in on])
-        cut = split_join(side, long_, on, "left").withColumn(own, F.pmod(rest, F.coalesce(f"_{own[1]}cuts", F.lit(1))).cast("int"))
-        return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(f"_{other[1]}cuts", F.lit(1)) - 1))).drop("_lcuts", "_rcuts")
+        cut = split_join(side, long_, on, "left").withColumn(own, F.pmod(rest, F.coalesce(f"{own}cuts", F.lit(1))).cast("int"))
+        return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}cuts", F.lit(1)) - 1))).drop("_lcuts", "_rcuts")
 
     return sliced(left, "_l", "_r").join(sliced(right, "_r", "_l"), [*on, "_l", "_r"]).where(where).drop("_l", "_r")
 

@@ -157,7 +157,8 @@ def name_only_matches(spark: SparkSession, root: str) -> DataFrame:
     r = split_join(table(spark, root, "github_repos").select(F.col("id").alias("b"), F.col("name").alias("remote_name")), remote.select(F.col("s").alias("b")).distinct(), ["b"], "left_semi")
     alike = Scratch(spark, "names").write(matching.similar_names(d.select("local_name"), r.select("remote_name")), "alike")
     # a pair without common members has k = 0, so the bound is the anti-join with the content matches
-    found = similarity.overlaps(meet(meet(alike, d, ["local_name"], F.lit(True)), r, ["remote_name"], F.lit(True)).select("a", "b", "ratio"), local, remote)
+    named = Scratch(spark, "names").write(meet(alike, d, ["local_name"], F.lit(True)), "local")
+    found = similarity.overlaps(meet(named, r, ["remote_name"], F.lit(True)).select("a", "b", "ratio"), local, remote)
     found = found.where(F.col("k") < F.lit(matching.LEAST_CONTENT) * (F.col("n1") + F.col("n2") - F.col("k")) - 1e-9)
     rows, args = _classified(found, local_cells, remote_cells, counts)
     return rows.select(*_pair(), "ratio", matching.graded_class(*args).alias("graded"))
