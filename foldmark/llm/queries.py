@@ -58,7 +58,9 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     one, two = [found.members.select(F.col("set").alias(f"s{k}"), F.col("class").alias(f"set{k}")) for k in (1, 2)]
     # a class may have many members and many pairs, so both joins cut long lists
     anyway = F.lit(True)
-    between = meet(meet(found.pairs.select("set1", "set2"), one, ["set1"], anyway), two, ["set2"], anyway)
+    scratch = Scratch(spark, "pairs")
+    firsts = scratch.write(meet(scratch.write(found.pairs.select("set1", "set2"), "pairs"), one, ["set1"], anyway), "firsts")
+    between = meet(firsts, two, ["set2"], anyway)
     within = meet(one, two.withColumnRenamed("set2", "set1"), ["set1"], F.col("s1") < F.col("s2"))
     pairs = between.select("s1", "s2").unionByName(within.select("s1", "s2")).select(_set_key("s1").alias("a"), _set_key("s2").alias("b"))
     return pairs.select(F.least("a", "b").alias("key1"), F.greatest("a", "b").alias("key2"))
