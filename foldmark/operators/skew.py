@@ -58,7 +58,15 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 def _fits(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows and BROADCAST_BYTES, by the values of its first ``most`` rows."""
-    wide = lambda f: F.octet_length(F.col(f.name)) if f.dataType.simpleString() in ("string", "binary") else F.octet_length(F.to_json(F.struct(f.name))) if f.dataType.simpleString().startswith(("array", "struct", "map")) else F.lit(8)
+
+    def wide(f) -> Column:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            return F.octet_length(f.name)
+        if kind.startswith("array<") and kind[6:-1] in ("bigint", "int", "double"):
+            return F.size(f.name) * 8
+        return F.octet_length(F.to_json(F.struct(f.name))) if kind.startswith(("array", "struct", "map")) else F.lit(8)
+
     size = sum((F.coalesce(wide(f), F.lit(8)) for f in df.schema.fields), F.lit(16))
     n, held = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
     return n <= most and held <= BROADCAST_BYTES

@@ -17,7 +17,7 @@ BINARY_SUFFIXES = (
 )
 #: Suffixes of source code: fixed values.
 CODE_SUFFIXES = (
-    ".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".java", ".kt", ".scala", ".rb", ".php", ".cs", ".cpp", ".c", ".h", ".hpp", ".rs", ".swift", ".sh", ".bash", ".zsh", ".fish", ".html", ".css", ".scss", ".sql", ".tf", ".r", ".jl",
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".java", ".kt", ".scala", ".rb", ".php", ".cs", ".cpp", ".c", ".h", ".hpp", ".rs", ".swift", ".sh", ".bash", ".zsh", ".html", ".css", ".scss", ".sql", ".tf", ".r", ".jl",
 )
 EXCLUDED = ("**/.git/**", "**/node_modules/**", "**/__pycache__/**", "old", "lib1*", "*.pyc")
 

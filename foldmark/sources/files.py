@@ -22,6 +22,11 @@ LISTED = 10_000
 ESTIMATE_CAP = 5_000_000
 
 
+def new_scan_id(now: float, token: str) -> str:
+    """Name of a scan: ``scan-``, whole epoch seconds, and the first six characters of a random hex token. Both are given, so that a scan can be repeated."""
+    return f"scan-{int(now)}-{token[:6]}"
+
+
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """SHA-256 and git blob SHA-1 of files in one pass over their bytes, however large; null for files that cannot be read."""
     for batch in batches:

@@ -25,6 +25,10 @@ def test_scan_and_roll_up(spark, rows, tmp_path):
     assert tuple(files.estimated_count(found).first()) == (3, False)
 
 
+def test_scan_ids():
+    assert files.new_scan_id(1716100000.9, "a1b2c3d4") == "scan-1716100000-a1b2c3"
+
+
 def test_files_are_hashed_as_a_stream(spark, tmp_path):
     import hashlib
 
