@@ -24,7 +24,7 @@ class Kind:
 
 
 KINDS = {
-    "slot": Kind(0.5), "blank": Kind(0.6), "error": Kind(0.7), "notice": Kind(0.7), "stub": Kind(0.7), "sample": Kind(0.7),
+    "slot": Kind(0.5), "blank": Kind(0.6), "error": Kind(0.75), "notice": Kind(0.75), "stub": Kind(0.75), "sample": Kind(0.75),
     "latin": Kind(0.7, 3), "repeat": Kind(0.6), "mention": Kind(0.0, residue=False),
 }
 

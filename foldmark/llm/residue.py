@@ -40,7 +40,7 @@ _REPORTED = r"^(?:\s*[-*•] ?\d{1,3} ?[:=] |\W{0,3}(?:\d{4}-\d\d-\d\d[T ]\d\d:\
 #: Ends of sentences, but not inside brackets that close in the next one.
 _SENTENCE = r"(?<=[.!?])[\s\x{a0}]+(?![^\[\]{}<>.!?]*[\]}>])"
 _RUN = r"\b(\p{L}{3,}+(?: \p{L}++)??)(?:[\x{a0} ,]+\1\b){2,}+"
-_NAMES = r"(?<!\p{L})\p{L}*+[\p{N}_/-][\p{L}\p{N}_/-]*+"
+_NAMES = r"\b\p{L}*+(?:[\p{N}_/-]|\.(?=[\p{L}\p{N}]))(?:[\p{L}\p{N}_/-]|\.(?=[\p{L}\p{N}]))*+"
 _COMPOUND = r"(?<![\p{L}\p{N}_/-])\p{L}++[-_]\p{L}++(?![\p{L}\p{N}_/-])"
 _STATUS = rf"(?<![\w/.-])(?=[45]\d\d)(?:{'|'.join(map(str, STATUS_CODES))})(?![\w/-])"
 #: Letters with accents as they look after UTF-8 was read as Latin-1.
