@@ -1,8 +1,9 @@
 """Directories against repositories where a few contents are everywhere."""
 
 import random
+from difflib import SequenceMatcher
 
-from foldmark.operators import patterns, similarity
+from foldmark.operators import matching, patterns, similarity
 from foldmark.session import Scratch
 
 
@@ -29,3 +30,16 @@ def test_matched_pairs_equal_brute_force_and_store_no_pairs(spark, monkeypatch):
     rows = [tuple(r[c] for c in ("a", "b", "k", "n1", "n2", "ck", "c1", "c2", "files")) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert kept < len(want) / 2
+
+
+def test_names_far_apart_are_dropped_as_they_meet(spark, monkeypatch):
+    stored = {}
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: stored.setdefault(name, write(self, df, name)))
+    one = [f"{w}-journal-{k}{k}qz" for w in ("amber", "lotus", "umber") for k in range(10)]
+    two = [f"{w}_journal-xv{k}{k}" for w in ("amber", "cedar", "fenny") for k in range(10)]
+    flat = lambda s: s.lower().replace("-", "_")
+    want = {(x, y) for x in one for y in two if SequenceMatcher(None, flat(x), flat(y)).ratio() >= 0.8}
+    got = matching.similar_names(*(spark.createDataFrame([(n,) for n in names], "name string") for names in (one, two)))
+    assert {(r["local_name"], r["remote_name"]) for r in got.collect()} == want and want
+    assert len(want) <= stored["candidates"].count() < len(one) * len(two) / 2
