@@ -52,6 +52,7 @@ def matched_pairs(left: DataFrame, right: DataFrame, left_cells: DataFrame, righ
     member or cell is known by the pattern and size of both sides: sets of the left meet the
     classes of the right, and their members, in one pass. Pairs of the first kind are kept apart by a
     list per left set. The result may be quadratic, what is stored for it is not.
+    Nothing of the result reads the four tables.
     """
     scratch = Scratch(left.sparkSession, "patterns")
     top, words = _frequent(left, right, 1, SHARE, scratch, "frequent")
@@ -72,6 +73,7 @@ def matched_pairs(left: DataFrame, right: DataFrame, left_cells: DataFrame, righ
     plain = _common(1, "ma", "mb")
     sized = sized.withColumn("k", F.col("k") + plain).where(enough(F.col("k")))
     met = scratch.write(sized.select("a", "b", "na", "nb", "k", "ck", enough(plain).alias("plain")), "met")
+    scratch.drop("rare-a", "rare-b")
     trees = lambda df, tag: df.select(tag, f"c{tag}", *(kept if tag == "a" else []), *[f"t{tag}{w}" for w in range(cell_words)])
     rows = split_join(split_join(met, trees(one, "a"), ["a"]), trees(two, "b"), ["b"])
     common = _common(cell_words, "ta", "tb")

@@ -2,9 +2,11 @@
 
 import random
 from difflib import SequenceMatcher
+from pathlib import Path
 
 from foldmark.operators import matching, patterns, similarity
-from foldmark.session import Scratch
+from foldmark.plans import overlap
+from foldmark.session import Scratch, shared_folder
 
 
 def test_matched_pairs_equal_brute_force_and_store_no_pairs(spark, monkeypatch):
@@ -32,6 +34,15 @@ def test_matched_pairs_equal_brute_force_and_store_no_pairs(spark, monkeypatch):
     assert kept < len(want) / 2
 
 
+def test_content_matches_leave_only_what_the_result_reads(spark):
+    at = Path(shared_folder(spark).removeprefix("file://")) / "foldmark"
+    before = set(at.glob("*"))
+    found = overlap.content_matches(spark, "/root/testdata/sf0.001")
+    left = {p.name for run in set(at.glob("*")) - before for p in run.rglob("*") if p.is_dir()}
+    assert left and not left & {"local", "remote", "sized", "rare-a", "rare-b"}
+    assert found.count() > 0
+
+
 def test_names_far_apart_are_dropped_as_they_meet(spark, monkeypatch):
     stored = {}
     write = Scratch.write

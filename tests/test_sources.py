@@ -97,6 +97,20 @@ def test_pairs_and_matches_are_stored_once(spark, rows, tmp_path):
     assert rows(tables.read_table(spark, root, "local_github_matches").select("local_dir_id", "github_repo_id", "match_type")) == [(1, 2, "exact"), (1, 3, "exact")]
 
 
+def test_stored_matches_are_small_and_numbered_by_the_pair(spark, tmp_path):
+    root, big = str(tmp_path / "m"), 2**40
+    pairs = spark.range(0, 200_000, 1, 2).selectExpr("id div 1000 as local_dir_id", "id * 7 % 1000 as github_repo_id", "0.5D as content_similarity", "'exact' as match_type")
+    odd = spark.createDataFrame([(1, big), (big, 1), (-1, 1), (None, 1), (1, None)], "local_dir_id long, github_repo_id long")
+    seen = []
+    for _ in range(2):
+        tables.store_matches(pairs.unionByName(odd, allowMissingColumns=True), root, 7.0)
+        got = tables.read_table(spark, root, "local_github_matches").select("local_dir_id", "github_repo_id", "id").collect()
+        seen.append({r[:2]: r[2] for r in map(tuple, got)})
+        assert len(got) == len(seen[-1]) == len(set(seen[-1].values())) == 200_005
+    assert seen[0] == seen[1]
+    assert sum(p.stat().st_size for p in (tmp_path / "m").rglob("*.parquet") if p.is_file()) < 4 * 200_005
+
+
 def test_create_tables_twice(spark):
     assert create_tables(spark) == create_tables(spark) == list(SCHEMAS)
 
